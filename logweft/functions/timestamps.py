@@ -135,29 +135,38 @@ def _offset_seconds(zone: Column) -> Column:
     return F.when(F.left(zone, F.lit(1)) == "-", -seconds).otherwise(seconds)
 
 
+def instant_to_utc(instant: Column) -> Column:
+    """UTC wall-clock time of a ``TIMESTAMP``, whatever the session time zone."""
+    return _from_micros(F.unix_micros(instant))
+
+
+def local_to_utc(local: Column, zone: str) -> Column:
+    """UTC wall-clock time of a time without zone, read in ``zone``."""
+    if zone.upper() == "UTC":
+        return local
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+
+
+def _from_micros(micros: Column) -> Column:
+    return F.timestamp_add(
+        "MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    )
+
+
 def epoch_to_utc(number: Column) -> Column:
     """Epoch seconds, or milliseconds if the number is too large for seconds."""
     seconds = F.when(F.abs(number) > EPOCH_MILLIS_FROM, number / 1000).otherwise(number)
     whole = F.floor(seconds)
     micros = F.rint((seconds - whole) * 1_000_000).cast("bigint")
     in_range = (seconds >= _MIN_EPOCH) & (seconds < _MAX_EPOCH)
-    return F.when(
-        in_range,
-        F.timestamp_add(
-            "MICROSECOND",
-            whole * F.lit(1_000_000).cast("bigint") + micros,
-            F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-        ),
-    )
+    return F.when(in_range, _from_micros(whole * F.lit(1_000_000).cast("bigint") + micros))
 
 
 def utc_from_canonical(canonical: Column, default_timezone: str = "UTC") -> Column:
     """Read the output of ``canonical_timestamp`` as UTC wall-clock time."""
     local = canonical.try_cast("timestamp_ntz")
     zone = F.regexp_extract(F.substring(canonical, 12, 80), r"(Z|[+-][\d:]+)$", 1)
-    naive = local
-    if default_timezone.upper() != "UTC":
-        naive = F.convert_timezone(F.lit(default_timezone), F.lit("UTC"), local)
+    naive = local_to_utc(local, default_timezone)
     shifted = local - F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), _offset_seconds(zone).cast("decimal(18,6)")
     )

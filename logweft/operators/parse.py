@@ -57,13 +57,16 @@ def _missing(text: Column, field: str) -> Column:
 
 
 def finish_records(extracted: DataFrame, default_timezone: str) -> DataFrame:
-    """Read time and level, check the rules in order, and keep one reason."""
-    keep = _names(extracted, *_EXTRACTED, "_shape_reason", "_preview_text")
-    timed = (
-        extracted.withColumn("_canonical", canonical_timestamp(F.col("_time_text")))
-        .withColumn("_time", utc_from_canonical(F.col("_canonical"), default_timezone))
-        .withColumn("_level", parse_level(F.col("_level_text")))
-    )
+    """Read time and level, check the rules in order, and keep one reason.
+
+    A column ``_time`` is taken as the time read already.
+    """
+    keep = _names(extracted, *_EXTRACTED, "_shape_reason", "_preview_text", "_time")
+    timed = extracted.withColumn("_level", parse_level(F.col("_level_text")))
+    if "_time" not in extracted.columns:
+        timed = timed.withColumn("_canonical", canonical_timestamp(F.col("_time_text"))).withColumn(
+            "_time", utc_from_canonical(F.col("_canonical"), default_timezone)
+        )
     service, correlation = F.col("service"), F.col("correlation_id")
     checked = timed.withColumn(
         "reason",

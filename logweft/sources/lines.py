@@ -70,7 +70,8 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     ).write.parquet(sizes)
     # The read skips empty files; the listing has them too.
     listed_files = spark.createDataFrame([(path,) for path in listing.inputFiles()], "value string")
-    files = listed_files.select(decoded_path(F.col("value")).alias("source")).join(
+    uri = F.regexp_replace("value", r"^([a-z0-9+.-]+):///", "$1:/")
+    files = listed_files.select(decoded_path(uri).alias("source")).join(
         spark.read.schema("source string, size bigint").parquet(sizes), "source", "left"
     )
 
@@ -110,6 +111,12 @@ def with_chunk(rows: DataFrame) -> DataFrame:
     return rows.withColumn("chunk", F.shiftright("row_key", CHUNK_BITS))
 
 
+def _present(name: str) -> Column:
+    """The column, or an error: a line without its place must not be lost."""
+    lost = F.raise_error(F.concat(F.lit("no place known for a line of "), "source"))
+    return F.when(F.col(name).isNull(), lost).otherwise(F.col(name))
+
+
 def chunk_counts(rows: DataFrame) -> DataFrame:
     """Lines per chunk of the whole input; ``rows`` must not be filtered."""
     return (
@@ -129,7 +136,8 @@ def chunk_offsets(counts: DataFrame, files: DataFrame) -> DataFrame:
     before = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     totals = counts.groupBy("source").agg(F.sum("lines").alias("file_lines"))
     starts = (
-        totals.join(files.select("source", "ordinal"), "source")
+        totals.join(files.select("source", "ordinal"), "source", "left")
+        .withColumn("ordinal", _present("ordinal"))
         .withColumn("file_offset", F.coalesce(F.sum("file_lines").over(before), F.lit(0)))
         .select("source", "file_offset")
     )
@@ -142,8 +150,8 @@ def chunk_offsets(counts: DataFrame, files: DataFrame) -> DataFrame:
 
 def number_lines(rows: DataFrame, offsets: DataFrame) -> DataFrame:
     """Add ``line_number`` (in the file) and ``arrival`` (over all files), from 1."""
-    placed = lookup_join(with_chunk(rows), offsets, _CHUNK, F.col("row_key"), how="inner")
-    line = F.col("row_key") - F.col("first_key") + F.col("offset") + 1
+    placed = lookup_join(with_chunk(rows), offsets, _CHUNK, F.col("row_key"))
+    line = F.col("row_key") - _present("first_key") + F.col("offset") + 1
     return placed.withColumns(
         {"line_number": line, "arrival": line + F.col("file_offset")}
     ).drop("chunk", "block_start", "row_key", "first_key", "offset", "file_offset")
