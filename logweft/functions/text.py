@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,5 +23,10 @@ def replace_all(value: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(value, F.lit(UNICODE + pattern), F.lit(replacement))
 
 
+def let(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def quoted(value: Column) -> Column:
     return F.concat(F.lit("'"), value, F.lit("'"))

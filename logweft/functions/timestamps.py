@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import EPOCH_MILLIS_FROM
-from .text import blank_to_null, strip
+from .text import blank_to_null, let, strip
 
 _OFFSET = r"(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)"
 _ISO = (
@@ -101,7 +101,10 @@ def _loose(value: Column) -> Column:
 def canonical_timestamp(value: Column) -> Column:
     """``YYYY-MM-DD[THH[:MM[:SS[.f]]][offset]]`` for date text, the number itself
     for epoch text, NULL for anything else."""
-    text = strip(value)
+    return _canonical(strip(value))
+
+
+def _canonical(text: Column) -> Column:
     return (
         F.when(
             _matches(text, _ISO),
@@ -140,6 +143,12 @@ def instant_to_utc(instant: Column) -> Column:
     return _from_micros(F.unix_micros(instant))
 
 
+def utc_to_instant(utc: Column) -> Column:
+    """The ``TIMESTAMP`` of a UTC wall-clock time, whatever the session time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, utc))
+
+
 def local_to_utc(local: Column, zone: str) -> Column:
     """UTC wall-clock time of a time without zone, read in ``zone``."""
     if zone.upper() == "UTC":
@@ -180,4 +189,5 @@ def utc_from_canonical(canonical: Column, default_timezone: str = "UTC") -> Colu
 
 def parse_timestamp(value: Column, default_timezone: str = "UTC") -> Column:
     """UTC time of a timestamp text, NULL if it is not recognised."""
-    return utc_from_canonical(canonical_timestamp(value), default_timezone)
+    canonical = let(strip(value), _canonical)
+    return let(canonical, lambda text: utc_from_canonical(text, default_timezone))

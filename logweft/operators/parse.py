@@ -68,6 +68,10 @@ def finish_records(extracted: DataFrame, default_timezone: str) -> DataFrame:
             "_time", utc_from_canonical(F.col("_canonical"), default_timezone)
         )
     service, correlation = F.col("service"), F.col("correlation_id")
+    # A filter on the result must not be pushed below the parsing: it would repeat
+    # the nested expressions many times over. This never-true condition depends on
+    # the partition and therefore stops it.
+    stop = F.when(F.spark_partition_id() < 0, F.lit(""))
     checked = timed.withColumn(
         "reason",
         F.coalesce(
@@ -89,6 +93,7 @@ def finish_records(extracted: DataFrame, default_timezone: str) -> DataFrame:
                 F.char_length(correlation) > MAX_CORRELATION_CHARS,
                 F.lit(f"correlation_id is longer than {MAX_CORRELATION_CHARS} characters"),
             ),
+            stop,
         ),
     )
     good = F.col("reason").isNull()

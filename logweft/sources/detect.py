@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from ..constants import CSV_DELIMITERS, FIELD_ALIASES, SNIFF_CHARS, SNIFF_LINES
 from ..session import materialize, new_path
 from .lines import checked_paths, file_path, list_files
 
+# The small functions that look at file heads go to the executors as they are.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FORMATS = ["plain", "jsonl", "csv"]
 _SUFFIXES = {"jsonl": "jsonl", "ndjson": "jsonl", "csv": "csv", "log": "plain", "txt": "plain"}
 _SUFFIX = r"(?i)[^/]\.(jsonl|ndjson|csv|log|txt)(?:\.gz)?$"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.fields import is_error
+from ..functions.timestamps import instant_to_utc, utc_to_instant
 from ..operators.cells import ratio
 from ..operators.parse import json_records, plain_records
 from ..operators.redact import redact
@@ -50,9 +51,10 @@ def stream_windows(
     """
     if 60 % window_minutes:
         raise ValueError("window_minutes must divide 60 in a stream")
-    bucket = F.window("timestamp", f"{window_minutes} minutes")
+    bucket = F.window("_instant", f"{window_minutes} minutes")
     counted = (
-        events.withWatermark("timestamp", watermark)
+        events.withColumn("_instant", utc_to_instant(F.col("timestamp")))
+        .withWatermark("_instant", watermark)
         .groupBy(bucket)
         .agg(
             F.count("*").alias("total"),
@@ -60,7 +62,7 @@ def stream_windows(
         )
     )
     return counted.select(
-        F.col("window.start").alias("start"),
+        instant_to_utc(F.col("window.start")).alias("start"),
         "total",
         "errors",
         ratio(F.col("errors"), F.col("total")).alias("error_rate"),
