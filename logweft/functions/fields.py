@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..constants import ERROR_LEVELS, FIELD_ALIASES, KEY_VALUE, LEVEL_WORDS, UNICODE
 from .text import blank_to_null, replace_all, strip
 
+# Only these letters can start a pair: a cheap test at each character of a line.
+_PAIR = "(?i)(?=[sactr])" + KEY_VALUE
+
 _KNOWN_KEYS = [alias for aliases in FIELD_ALIASES.values() for alias in aliases]
 
 
@@ -59,14 +62,15 @@ def extra_fields(keys: Column, values: Column) -> Column:
 
 def extract_pairs(tail: Column) -> Column:
     """``key=value`` pairs of a plain line's tail as an array of (key, value)."""
-    pattern = F.lit(UNICODE + KEY_VALUE)
-    return F.zip_with(
-        F.regexp_extract_all(tail, pattern, F.lit(1)),
-        F.regexp_extract_all(tail, pattern, F.lit(2)),
-        lambda key, value: F.struct(
-            normalized_key(key).alias("key"), F.btrim(value, F.lit("\"'")).alias("value")
-        ),
-    )
+
+    def split_pair(pair: Column) -> Column:
+        key = F.regexp_extract(pair, "^[^=:]+", 0)
+        value = F.regexp_replace(pair, "^[^=:]+[=:]", "")
+        return F.struct(
+            F.lower(key).alias("key"), F.btrim(value, F.lit("\"'")).alias("value")
+        )
+
+    return F.transform(F.regexp_extract_all(tail, F.lit(UNICODE + _PAIR), F.lit(0)), split_pair)
 
 
 def last_value(pairs: Column, field: str) -> Column:
@@ -77,5 +81,5 @@ def last_value(pairs: Column, field: str) -> Column:
 
 def strip_pairs(tail: Column) -> Column:
     """Message text of a plain line: the tail without its pairs."""
-    message = F.btrim(replace_all(tail, KEY_VALUE, " "), F.lit(" |-:"))
+    message = F.btrim(replace_all(tail, _PAIR, " "), F.lit(" |-:"))
     return F.coalesce(blank_to_null(message), tail)

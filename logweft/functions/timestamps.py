@@ -112,7 +112,7 @@ def _canonical(text: Column) -> Column:
                 F.concat(
                     F.left(text, F.lit(10)),
                     F.lit("T"),
-                    F.translate(F.substring(text, 12, 80), ", ", "."),
+                    F.replace(F.replace(F.substring(text, 12, 80), F.lit(","), F.lit(".")), F.lit(" ")),
                 )
             ),
         )
@@ -164,26 +164,41 @@ def _from_micros(micros: Column) -> Column:
 
 def epoch_to_utc(number: Column) -> Column:
     """Epoch seconds, or milliseconds if the number is too large for seconds."""
-    seconds = F.when(F.abs(number) > EPOCH_MILLIS_FROM, number / 1000).otherwise(number)
-    whole = F.floor(seconds)
-    micros = F.rint((seconds - whole) * 1_000_000).cast("bigint")
-    in_range = (seconds >= _MIN_EPOCH) & (seconds < _MAX_EPOCH)
-    return F.when(in_range, _from_micros(whole * F.lit(1_000_000).cast("bigint") + micros))
+    scaled = F.when(F.abs(number) > EPOCH_MILLIS_FROM, number / 1000).otherwise(number)
+
+    def from_seconds(seconds: Column) -> Column:
+        whole = F.floor(seconds)
+        micros = F.rint((seconds - whole) * 1_000_000).cast("bigint")
+        in_range = (seconds >= _MIN_EPOCH) & (seconds < _MAX_EPOCH)
+        return F.when(in_range, _from_micros(whole * F.lit(1_000_000).cast("bigint") + micros))
+
+    return let(scaled, from_seconds)
+
+
+def _in_years(utc: Column) -> Column:
+    return F.when(F.year(utc).between(1, 9999), utc)
 
 
 def utc_from_canonical(canonical: Column, default_timezone: str = "UTC") -> Column:
     """Read the output of ``canonical_timestamp`` as UTC wall-clock time."""
-    local = canonical.try_cast("timestamp_ntz")
-    zone = F.regexp_extract(F.substring(canonical, 12, 80), r"(Z|[+-][\d:]+)$", 1)
-    naive = local_to_utc(local, default_timezone)
-    shifted = local - F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), _offset_seconds(zone).cast("decimal(18,6)")
-    )
-    utc = F.when(zone == "", naive).when(zone == "Z", local).otherwise(shifted)
-    dated = F.substring(canonical, 5, 1) == "-"
-    in_range = (F.year(utc) >= 1) & (F.year(utc) <= 9999)
-    return F.when(dated & ~_matches(canonical, _NUMERIC), F.when(in_range, utc)).otherwise(
-        epoch_to_utc(canonical.try_cast("double"))
+    time = F.substring(canonical, 12, 80)
+
+    def to_utc(local: Column) -> Column:
+        zone = F.regexp_extract(time, r"([+-][\d:]+)$", 1)
+        offset = let(zone, lambda text: _offset_seconds(text).cast("decimal(18,6)"))
+        shifted = local - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), offset)
+        naive = local
+        if default_timezone.upper() != "UTC":
+            naive = let(local_to_utc(local, default_timezone), _in_years)
+        return (
+            F.when(time.endswith("Z"), local)
+            .when(time.contains("+") | time.contains("-"), let(shifted, _in_years))
+            .otherwise(naive)
+        )
+
+    dated = (F.substring(canonical, 5, 1) == "-") & (F.substring(canonical, 8, 1) == "-")
+    return F.when(dated, let(canonical.try_cast("timestamp_ntz"), to_utc)).otherwise(
+        let(canonical.try_cast("double"), epoch_to_utc)
     )
 
 

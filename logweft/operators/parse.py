@@ -28,7 +28,7 @@ from ..functions.fields import (
     reversed_keys,
     strip_pairs,
 )
-from ..functions.text import blank_to_null, quoted, strip
+from ..functions.text import blank_to_null, let, quoted, strip
 from ..functions.timestamps import canonical_timestamp, utc_from_canonical
 
 RECORD_COLUMNS = [
@@ -200,12 +200,11 @@ def json_object(text: Column) -> Column:
         F.concat(F.lit('{"r":'), text, F.lit("}")), "struct<r:map<string,string>>", options
     )
     closes_array = F.rlike(text, F.lit(r"\}\s*\]"))
-    exact = (
-        strip(text).endswith("}")
-        & (F.size(elements) == 1)
-        & (~closes_array | member["r"].isNotNull())
+    only = let(elements, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
+    return F.when(
+        strip(text).endswith("}"),
+        F.when(closes_array, F.when(member["r"].isNotNull(), only)).otherwise(only),
     )
-    return F.when(exact, F.get(elements, F.lit(0)))
 
 
 def json_records(lines: DataFrame, default_timezone: str = "UTC") -> DataFrame:

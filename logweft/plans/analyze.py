@@ -131,10 +131,14 @@ def compare(baseline: DataFrame, current: DataFrame) -> ComparisonReport:
 
 
 def analyze_files(
-    spark: SparkSession, paths: str | list[str], options: AnalyzeOptions | None = None
+    spark: SparkSession,
+    paths: str | list[str],
+    options: AnalyzeOptions | None = None,
+    log_format: str | None = None,
 ) -> AnalysisReport:
     options = options or AnalyzeOptions()
-    return analyze(read_records(spark, paths, options.default_timezone), options)
+    records = read_records(spark, paths, options.default_timezone, log_format)
+    return analyze(records, options)
 
 
 def compare_files(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEMO_SERVICES
 from ..operators.parse import events_of
-from ..session import new_path
+from ..session import new_path, spread
 from ..sources.tables import records_from_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def app_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

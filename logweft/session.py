@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
+SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
 
 
 def build_session(app_name: str = "logweft", **conf: str) -> SparkSession:
@@ -58,6 +59,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a small input.
+
+    A small columnar file is often a single row group, which one task has to read
+    whole. Inputs of more than ``SPREAD_BYTES_PER_CORE`` are left as they are,
+    without any shuffle. ``df`` must be a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES_PER_CORE else df
+
+
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether the rows of ``df``, as measured now, stay below ``limit`` bytes."""
     width = F.octet_length(F.to_json(F.struct("*"))) + F.lit(64)

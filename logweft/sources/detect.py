@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import sys
 from collections.abc import Iterator
 
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CSV_DELIMITERS, FIELD_ALIASES, SNIFF_CHARS, SNIFF_LINES
-from ..session import materialize, new_path
-from .lines import checked_paths, file_path, list_files
+from ..session import new_path
+from .lines import checked_paths, file_path, files_table, list_files
 
 # The small functions that look at file heads go to the executors as they are.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,6 +35,12 @@ def suffix_format(file_name: Column) -> Column:
     return F.try_element_at(table, F.lower(F.regexp_extract(file_name, _SUFFIX, 1)))
 
 
+def format_of_name(file_name: str) -> str | None:
+    """The same for one name."""
+    found = re.search(_SUFFIX, "/" + file_name)
+    return _SUFFIXES[found[1].lower()] if found else None
+
+
 def name_has_format(name: str) -> Column:
     """Condition on the file's metadata: its suffix stands for this format."""
     suffixes = "|".join(suffix for suffix, fmt in _SUFFIXES.items() if fmt == name)
@@ -136,17 +143,13 @@ def sniff_heads(
 
 def detect_formats(files: DataFrame, heads: DataFrame) -> DataFrame:
     """``files`` with their format; a file without any text counts as plain."""
-    sniffed = heads.select("source", F.col("format").alias("sniffed"))
+    sniffed = heads.select("source", F.col("format").alias("sniffed"), "delimiter")
     detected = F.coalesce(suffix_format(F.col("file_name")), "sniffed", F.lit("plain"))
-    return files.join(sniffed, "source", "left").withColumn("format", detected).drop("sniffed")
+    joined = files.join(sniffed, "source", "left").withColumn("format", detected)
+    return joined.select("source", "ordinal", "format", "delimiter")
 
 
 def detect_format(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Format of each input file: source, format, delimiter."""
-    heads = sniff_heads(spark, paths)
-    formats = detect_formats(list_files(spark, paths), heads)
-    dialects = heads.select("source", "delimiter")
-    return materialize(
-        formats.join(dialects, "source", "left").select("source", "ordinal", "format", "delimiter"),
-        "formats",
-    )
+    """Format of each input file: source, ordinal, format, delimiter."""
+    files = files_table(spark, list_files(spark, paths))
+    return detect_formats(files, sniff_heads(spark, paths))

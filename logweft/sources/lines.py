@@ -7,23 +7,23 @@ numbers need the number of lines before each chunk of rows; that is a small tabl
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import lookup_join, materialize, new_path
+from ..session import lookup_join, materialize
 
 CHUNK_BITS = 20
 _CHUNK = ["source", "block_start", "chunk"]
 
 
-def decoded_path(path: Column) -> Column:
-    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    return F.when(path.contains("%"), decoded).otherwise(path)
-
-
 def file_path() -> Column:
     """Readable path of the file a row comes from."""
-    return decoded_path(F.col("_metadata.file_path"))
+    path = F.col("_metadata.file_path")
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.when(path.contains("%"), decoded).otherwise(path)
 
 
 def checked_paths(paths: str | list[str]) -> list[str]:
@@ -53,28 +53,13 @@ def read_lines(
     )
 
 
-def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per input file, empty ones included: source, file_name, size, ordinal.
+def list_files(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, str]]:
+    """Path and name of each input file, empty ones included, in order: by the
+    argument that names it, then by path.
 
-    Files are ordered by the argument that names them, then by path. Only the
-    listing is read, in few tasks; it is the size of the listing that Spark itself
-    keeps on the driver.
+    This is the listing that Spark itself keeps on the driver.
     """
     listed = checked_paths(paths)
-    lister = spark.newSession()
-    lister.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 60))
-    listing = lister.read.format("binaryFile").load(listed)
-    sizes = new_path(spark, "sizes")
-    listing.select(
-        file_path().alias("source"), F.col("_metadata.file_size").alias("size")
-    ).write.parquet(sizes)
-    # The read skips empty files; the listing has them too.
-    listed_files = spark.createDataFrame([(path,) for path in listing.inputFiles()], "value string")
-    uri = F.regexp_replace("value", r"^([a-z0-9+.-]+):///", "$1:/")
-    files = listed_files.select(decoded_path(uri).alias("source")).join(
-        spark.read.schema("source string, size bigint").parquet(sizes), "source", "left"
-    )
-
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     hadoop_conf = spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -82,29 +67,24 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         parsed = jvm_path(path)
         return parsed.getFileSystem(hadoop_conf).makeQualified(parsed).toString()
 
-    arguments = spark.createDataFrame(
-        [(qualified(path), index) for index, path in enumerate(listed)], "prefix string, arg int"
-    )
-    parts = F.split("source", "/")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
-    )
-    named = (
-        files.select("source", F.explode(prefixes).alias("prefix"))
-        .join(arguments, "prefix")
-        .groupBy("source")
-        .agg(F.min("arg").alias("arg"))
-    )
-    order = Window.orderBy(F.coalesce("arg", F.lit(len(listed))), "source")
-    return materialize(
-        files.join(named, "source", "left").select(
-            "source",
-            F.element_at(parts, -1).alias("file_name"),
-            F.coalesce("size", F.lit(0)).alias("size"),
-            F.row_number().over(order).alias("ordinal"),
-        ),
-        "files",
-    )
+    arguments = {qualified(path): index for index, path in enumerate(listed)}
+
+    def argument(source: str) -> int:
+        parents = [source]
+        while "/" in parents[-1]:
+            parents.append(parents[-1].rsplit("/", 1)[0])
+        return min((arguments[path] for path in parents if path in arguments), default=len(listed))
+
+    uris = spark.read.text(listed).inputFiles()
+    sources = [unquote(re.sub(r"^([a-z0-9+.-]+):///", r"\1:/", uri)) for uri in uris]
+    ordered = sorted(sources, key=lambda source: (argument(source), source))
+    return [(source, source.rsplit("/", 1)[-1]) for source in ordered]
+
+
+def files_table(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+    """The listing as a table: source, file_name, ordinal."""
+    rows = [(source, name, index) for index, (source, name) in enumerate(files, start=1)]
+    return spark.createDataFrame(rows, "source string, file_name string, ordinal bigint")
 
 
 def with_chunk(rows: DataFrame) -> DataFrame:
@@ -164,6 +144,6 @@ def read_numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFram
     same splits.
     """
     stored = materialize(read_lines(spark, paths), "lines")
-    files = list_files(spark, paths)
+    files = files_table(spark, list_files(spark, paths))
     offsets = materialize(chunk_offsets(chunk_counts(stored), files), "offsets")
     return number_lines(stored, offsets)

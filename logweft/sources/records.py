@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..operators.parse import RECORD_COLUMNS, json_records, plain_records
 from ..session import materialize
 from .csv_lines import csv_records
-from .detect import FORMATS, name_has_format, sniff_heads, suffix_format
+from .detect import FORMATS, format_of_name, name_has_format, sniff_heads, suffix_format
 from .lines import (
     checked_paths,
     chunk_counts,
     chunk_offsets,
+    files_table,
     list_files,
     number_lines,
     read_lines,
@@ -39,7 +40,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def route_files(
-    spark: SparkSession, paths: list[str], log_format: str | None, files: DataFrame
+    spark: SparkSession, paths: list[str], log_format: str | None, files: list[tuple[str, str]]
 ) -> tuple[dict[str, list[DataFrame]], DataFrame | None]:
     """Lines per format, and the heads of the files that had to be looked into.
 
@@ -52,8 +53,8 @@ def route_files(
         heads = sniff_heads(spark, paths, "csv") if log_format == "csv" else None
         return {log_format: [read_lines(spark, paths)]}, heads
 
-    suffixes = files.select(suffix_format(F.col("file_name")).alias("suffix")).distinct()
-    by_suffix = {row["suffix"] for row in suffixes.collect()}
+    names = {source: format_of_name(name) for source, name in files}
+    by_suffix = set(names.values())
     lines = {
         name: [read_lines(spark, paths, name_has_format(name))]
         for name in FORMATS
@@ -63,16 +64,15 @@ def route_files(
         return lines, None
 
     heads = sniff_heads(spark, paths)
-    to_sniff = F.coalesce(suffix_format(F.col("file_name")), F.lit("csv")) == "csv"
-    readable = files.where(to_sniff & (F.col("size") > 0))
-    unseen = readable.join(heads, "source", "left_anti").where(~F.col("file_name").endswith(".gz"))
-    if not unseen.isEmpty():
-        raise RuntimeError(f"no head was read of {unseen.first()['source']}")
-    found: dict[str, list[str]] = {}
-    for row in heads.where(suffix_format(F.col("source")).isNull()).toLocalIterator():
-        found.setdefault(row["format"], []).append(row["source"])
-    for name, sources in found.items():
-        lines.setdefault(name, []).append(read_lines(spark, sources))
+    # Files of which no head was read are empty; they would be plain.
+    unnamed = {source: "plain" for source, name in names.items() if name is None}
+    for row in heads.select("source", "format").toLocalIterator():
+        if row["source"] in unnamed:
+            unnamed[row["source"]] = row["format"]
+    for name in FORMATS:
+        sources = [source for source, found in unnamed.items() if found == name]
+        if sources:
+            lines.setdefault(name, []).append(read_lines(spark, sources))
     return lines, heads
 
 
@@ -108,8 +108,9 @@ def read_records(
     """
     check_timezone(spark, default_timezone)
     listed = checked_paths(paths)
-    files = list_files(spark, listed)
-    lines, heads = route_files(spark, listed, log_format, files)
+    found = list_files(spark, listed)
+    files = files_table(spark, found)
+    lines, heads = route_files(spark, listed, log_format, found)
     parsed = [
         parser(part, default_timezone)
         for name, parser in _PARSERS.items()
