@@ -50,7 +50,7 @@ def error_examples(
     masked = filter_errors(events).select("arrival", mask_text(F.col("message")).alias("example"))
     keyed = masked.withColumn("normalized_message", normalize_masked(F.col("example")))
     if groups is not None:
-        wanted = F.broadcast(groups.select("normalized_message"))
+        wanted = groups.select("normalized_message")
         keyed = keyed.join(wanted, "normalized_message", "left_semi")
     firsts = keyed.groupBy("normalized_message", "example").agg(
         F.min("arrival").alias("first_arrival")

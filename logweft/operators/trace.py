@@ -11,6 +11,7 @@ from ..functions.fields import is_error
 from ..functions.privacy import mask_text
 from ..session import lookup_join, materialize
 from .parse import events_of, issues_of
+from .summary import first_rows
 
 TRACE_ORDER = ["timestamp", "source", "line_number"]
 MAX_TRACE_EVENTS = 100_000
@@ -34,7 +35,7 @@ def trace_events(events: DataFrame, correlation_id: str, max_events: int = 1000)
     """The first events of one correlation ID in time order, masked."""
     if not 1 <= max_events <= MAX_TRACE_EVENTS:
         raise ValueError(f"max_events must be between 1 and {MAX_TRACE_EVENTS}")
-    first = filter_correlation(events, correlation_id).orderBy(*TRACE_ORDER).limit(max_events)
+    first = first_rows(filter_correlation(events, correlation_id), TRACE_ORDER, max_events)
     return first.select(
         "timestamp",
         "service",

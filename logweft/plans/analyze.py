@@ -82,8 +82,8 @@ def analyze(records: DataFrame, options: AnalyzeOptions | None = None) -> Analys
         ),
         "top-errors",
     )
-    services = services_per_group(errors.join(
-        F.broadcast(groups.select("normalized_message")), "normalized_message", "left_semi"))
+    top_cells = errors.join(groups.select("normalized_message"), "normalized_message", "left_semi")
+    services = services_per_group(top_cells)
     events = events_of(records)
     correlations = count_cells(events.where(F.col("correlation_id") != ""), "correlation_id")
     summary = summary_counts(cube)

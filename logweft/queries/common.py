@@ -100,10 +100,13 @@ def hop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def periods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Baseline and current events."""
-    events = app_events(spark, sf_dir)
+    """Baseline and current events, cut on the table so that the scans are pruned."""
+    rows = app_rows(spark, sf_dir)
     before = F.col("timestamp") < F.lit(PERIOD_CUT).cast("timestamp_ntz")
-    return events.where(before), events.where(~before)
+    return tuple(
+        events_of(records_from_table(part, "events", F.col("event_id") + 1))
+        for part in (rows.where(before), rows.where(~before))
+    )
 
 
 _RENDERED: dict[tuple, str] = {}

@@ -30,9 +30,8 @@ def stream_parse(spark, sf_dir):
     records = streams.stream_records(spark, broken_folder(spark, sf_dir))
     target = new_path(spark, "stream-records")
     streams.write_records(records, target, new_path(spark, "stream-state")).awaitTermination()
-    stored = spark.read.parquet(target)
-    malformed = F.col("malformed").cast("boolean").alias("malformed")
-    return stored.groupBy(malformed, "level").agg(F.count("*").alias("records"))
+    stored = streams.stored_records(spark, target)
+    return stored.groupBy("malformed", "level").agg(F.count("*").alias("records"))
 
 
 @query(

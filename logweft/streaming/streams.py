@@ -41,6 +41,12 @@ def write_records(records: DataFrame, target: str, checkpoint: str) -> Streaming
     return _start(marked, "parquet", target, checkpoint, "malformed")
 
 
+def stored_records(spark: SparkSession, target: str) -> DataFrame:
+    """What ``write_records`` stored; a filter on ``malformed`` prunes partitions."""
+    stored = spark.read.parquet(target)
+    return stored.withColumn("malformed", F.col("malformed").cast("boolean"))
+
+
 def stream_windows(
     events: DataFrame, window_minutes: int = 5, watermark: str = "1 hour"
 ) -> DataFrame:

@@ -119,3 +119,17 @@ def test_default_timezone(spark):
         datetime(2026, 10, 25, 0, 30),
         datetime(2026, 1, 15, 10),
     ]
+
+
+def test_sql_functions(spark):
+    from logweft.functions.sql import register_functions
+
+    register_functions(spark)
+    text = "Mail a@b.co 'secret: abcdef99' id = 7 in 0xdeadbeefdeadbeef"
+    spark.createDataFrame([(text,)], "v string").createOrReplaceTempView("texts")
+    row = spark.sql(
+        "SELECT mask_text(v) m, normalize_message(v) n, fingerprint_message(v) f FROM texts"
+    ).first()
+    assert [row["m"]] == apply(spark, mask_text, text)
+    assert [row["n"]] == apply(spark, normalize_message, text)
+    assert [row["f"]] == apply(spark, fingerprint_message, text)
