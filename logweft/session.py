@@ -59,6 +59,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_work_dir(spark: SparkSession) -> None:
+    """Delete what this application stored in the shared folder.
+
+    Tables returned before must not be used afterwards.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on a small input.
 

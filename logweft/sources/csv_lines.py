@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..constants import CSV_FIELD_LIMIT
 from ..operators.parse import finish_records, mapping_records
 from ..session import lookup_join, materialize
+from .lines import present
 
 PIECE_BITS = 20
 _PIECE = ["source", "_piece"]
@@ -152,10 +153,11 @@ def csv_rows(lines: DataFrame, heads: DataFrame) -> DataFrame:
 
     ``lines`` are numbered lines of CSV files, ``heads`` the dialects and headers.
     """
-    dialects = heads.select(*_DIALECT).distinct().collect()
+    dialects = heads.where(F.size("header") > 0).select(*_DIALECT).distinct().collect()
     width = heads.select(F.max(F.size("header")).alias("width")).first()["width"]
     about = heads.select("source", *_DIALECT, "header")
-    known = lookup_join(lines, about, ["source"], F.col("line_number"), how="inner")
+    known = lookup_join(lines, about, ["source"], F.col("line_number"))
+    known = known.withColumn("delimiter", present("delimiter")).where(F.size("header") > 0)
     states = _line_states(known, dialects)
     opening = materialize(states.where("_opens").select("source").distinct(), "csv-opening")
     records = states.select(
@@ -210,7 +212,6 @@ def csv_rows(lines: DataFrame, heads: DataFrame) -> DataFrame:
 
 def csv_records(lines: DataFrame, heads: DataFrame, default_timezone: str = "UTC") -> DataFrame:
     """Records of CSV files, with one dead letter for each file without a header."""
-    with_header = heads.where(F.size("header") > 0)
     without = heads.where(F.size("header") == 0).select("source", "sample")
     missing = lookup_join(
         lines.where(F.col("line_number") == 1), without, ["source"], F.col("line_number"), "inner"
@@ -227,9 +228,9 @@ def csv_records(lines: DataFrame, heads: DataFrame, default_timezone: str = "UTC
         F.col("sample").alias("_preview_text"),
     )
     records = finish_records(missing, default_timezone)
-    if with_header.isEmpty():
+    if heads.where(F.size("header") > 0).isEmpty():
         return records
-    rows = csv_rows(lines, with_header)
+    rows = csv_rows(lines, heads)
     preview = F.array_join(
         F.zip_with(
             "header",

@@ -6,7 +6,8 @@ import csv
 import io
 import re
 import sys
-from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -15,11 +16,14 @@ from pyspark.sql import functions as F
 
 from ..constants import CSV_DELIMITERS, FIELD_ALIASES, SNIFF_CHARS, SNIFF_LINES
 from ..session import new_path
-from .lines import checked_paths, file_path, files_table, list_files
+from .lines import files_table, list_files
 
 # The small functions that look at file heads go to the executors as they are.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+SNIFF_BATCH = 64
+SNIFF_JOBS = 8
+
 FORMATS = ["plain", "jsonl", "csv"]
 _SUFFIXES = {"jsonl": "jsonl", "ndjson": "jsonl", "csv": "csv", "log": "plain", "txt": "plain"}
 _SUFFIX = r"(?i)[^/]\.(jsonl|ndjson|csv|log|txt)(?:\.gz)?$"
@@ -91,53 +95,52 @@ def describe_head(source: str, suffix: str | None, lines: list[str]) -> dict:
     return row
 
 
-def _describe_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One task reads one file and stops as soon as it has seen enough of it."""
-    lines: list[str] = []
-    source = suffix = None
-    size = filled = 0
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            source, suffix = row.source, row.suffix
-            lines.append(row.value)
-            size += len(row.value) + 1
-            filled += bool(row.value.strip())
-        if size >= SNIFF_CHARS and filled >= SNIFF_LINES:
-            break
-    if source is not None:
-        columns = [part.split()[0] for part in HEAD_SCHEMA.split(", ")]
-        yield pd.DataFrame([describe_head(source, suffix or None, lines)])[columns]
+def _describe_group(rows: pd.DataFrame) -> pd.DataFrame:
+    first = rows.sort_values("place")
+    source, suffix = first["source"].iloc[0], first["suffix"].iloc[0]
+    columns = [part.split()[0] for part in HEAD_SCHEMA.split(", ")]
+    head = describe_head(source, suffix or None, list(first["value"]))
+    return pd.DataFrame([head])[columns]
 
 
 def sniff_heads(
-    spark: SparkSession, paths: str | list[str], log_format: str | None = None
+    spark: SparkSession, files: list[tuple[str, str]], log_format: str | None = None
 ) -> DataFrame:
     """Format, dialect and header of the files that have to be looked into: CSV
     files and those without a telling suffix (all files if ``log_format`` is CSV).
 
-    Every file is one partition of a separate session's read, of which only the
-    first batch is taken. Empty files give no row.
+    ``files`` is a listing. Each file is one split of a separate session's read,
+    which a limit ends after its first lines, so that no file is read whole. The
+    limits go by batches of files. Empty files give no row.
     """
+    suffixes = {source: log_format or format_of_name(name) for source, name in files}
+    sources = [source for source, suffix in suffixes.items() if suffix in (None, "csv")]
     reader = spark.newSession()
-    whole_file = str(1 << 42)
+    whole_file = str(1 << 60)
     reader.conf.set("spark.sql.files.maxPartitionBytes", whole_file)
     reader.conf.set("spark.sql.files.openCostInBytes", whole_file)
-    reader.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    lines = reader.read.text(checked_paths(paths))
-    suffix = F.lit(log_format) if log_format else suffix_format(F.col("_metadata.file_name"))
-    if not log_format:
-        lines = lines.where(~name_has_format("plain") & ~name_has_format("jsonl"))
-    heads = (
-        lines.where(F.col("_metadata.file_block_start") == 0)
-        .select(
+
+    def first_lines(source: str) -> DataFrame:
+        # A line has at least its line end, so these are all characters needed.
+        lines = reader.read.text(source).limit(SNIFF_CHARS)
+        return lines.select(
+            F.lit(source).alias("source"),
+            F.lit(suffixes[source] or "").alias("suffix"),
+            F.monotonically_increasing_id().alias("place"),
             F.make_valid_utf8("value").alias("value"),
-            file_path().alias("source"),
-            F.coalesce(suffix, F.lit("")).alias("suffix"),
         )
-        .mapInPandas(_describe_heads, HEAD_SCHEMA)
-    )
+
     target = new_path(spark, "heads")
-    heads.write.parquet(target)
+    reader.createDataFrame([], HEAD_SCHEMA).write.parquet(target)
+
+    def describe(batch: list[str]) -> None:
+        lines = reduce(DataFrame.unionByName, map(first_lines, batch))
+        heads = lines.groupBy("source").applyInPandas(_describe_group, HEAD_SCHEMA)
+        heads.write.mode("append").parquet(target)
+
+    batches = [sources[at : at + SNIFF_BATCH] for at in range(0, len(sources), SNIFF_BATCH)]
+    with ThreadPoolExecutor(SNIFF_JOBS) as jobs:
+        list(jobs.map(describe, batches))
     return spark.read.schema(HEAD_SCHEMA).parquet(target)
 
 
@@ -151,5 +154,5 @@ def detect_formats(files: DataFrame, heads: DataFrame) -> DataFrame:
 
 def detect_format(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Format of each input file: source, ordinal, format, delimiter."""
-    files = files_table(spark, list_files(spark, paths))
-    return detect_formats(files, sniff_heads(spark, paths))
+    files = list_files(spark, paths)
+    return detect_formats(files_table(spark, files), sniff_heads(spark, files))

@@ -91,9 +91,9 @@ def with_chunk(rows: DataFrame) -> DataFrame:
     return rows.withColumn("chunk", F.shiftright("row_key", CHUNK_BITS))
 
 
-def _present(name: str) -> Column:
-    """The column, or an error: a line without its place must not be lost."""
-    lost = F.raise_error(F.concat(F.lit("no place known for a line of "), "source"))
+def present(name: str) -> Column:
+    """The column, or an error: a line that finds no partner must not be lost."""
+    lost = F.raise_error(F.concat(F.lit(f"no {name} known for a line of "), "source"))
     return F.when(F.col(name).isNull(), lost).otherwise(F.col(name))
 
 
@@ -117,7 +117,7 @@ def chunk_offsets(counts: DataFrame, files: DataFrame) -> DataFrame:
     totals = counts.groupBy("source").agg(F.sum("lines").alias("file_lines"))
     starts = (
         totals.join(files.select("source", "ordinal"), "source", "left")
-        .withColumn("ordinal", _present("ordinal"))
+        .withColumn("ordinal", present("ordinal"))
         .withColumn("file_offset", F.coalesce(F.sum("file_lines").over(before), F.lit(0)))
         .select("source", "file_offset")
     )
@@ -131,7 +131,7 @@ def chunk_offsets(counts: DataFrame, files: DataFrame) -> DataFrame:
 def number_lines(rows: DataFrame, offsets: DataFrame) -> DataFrame:
     """Add ``line_number`` (in the file) and ``arrival`` (over all files), from 1."""
     placed = lookup_join(with_chunk(rows), offsets, _CHUNK, F.col("row_key"))
-    line = F.col("row_key") - _present("first_key") + F.col("offset") + 1
+    line = F.col("row_key") - present("first_key") + F.col("offset") + 1
     return placed.withColumns(
         {"line_number": line, "arrival": line + F.col("file_offset")}
     ).drop("chunk", "block_start", "row_key", "first_key", "offset", "file_offset")

@@ -50,7 +50,7 @@ def route_files(
     if log_format is not None:
         if log_format not in FORMATS:
             raise ValueError(f"unknown log format: {log_format}")
-        heads = sniff_heads(spark, paths, "csv") if log_format == "csv" else None
+        heads = sniff_heads(spark, files, "csv") if log_format == "csv" else None
         return {log_format: [read_lines(spark, paths)]}, heads
 
     names = {source: format_of_name(name) for source, name in files}
@@ -63,7 +63,7 @@ def route_files(
     if by_suffix <= {"plain", "jsonl"}:
         return lines, None
 
-    heads = sniff_heads(spark, paths)
+    heads = sniff_heads(spark, files)
     # Files of which no head was read are empty; they would be plain.
     unnamed = {source: "plain" for source, name in names.items() if name is None}
     for row in heads.select("source", "format").toLocalIterator():
