@@ -38,8 +38,8 @@ def work_dir(spark: SparkSession) -> str:
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="logweft-")
-        spark.conf.set(CHECKPOINT_CONF, configured)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logweft-"))
+        configured = spark.sparkContext.getCheckpointDir()
     return f"{configured}/logweft-{spark.sparkContext.applicationId}"
 
 

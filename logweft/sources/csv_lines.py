@@ -245,9 +245,10 @@ def csv_records(lines: DataFrame, heads: DataFrame, default_timezone: str = "UTC
         "arrival",
         "header",
         "cells",
-        F.when(F.col("too_long"), F.lit(f"CSV field is larger than {CSV_FIELD_LIMIT}")).alias(
-            "_shape_reason"
-        ),
+        F.when(
+            F.col("too_long") | F.exists("cells", lambda cell: F.char_length(cell) > CSV_FIELD_LIMIT),
+            F.lit(f"CSV field is larger than {CSV_FIELD_LIMIT}"),
+        ).alias("_shape_reason"),
         preview.alias("_preview_text"),
     )
     parsed = mapping_records(shaped, F.col("header"), F.col("cells"), default_timezone)

@@ -219,6 +219,22 @@ def test_csv_cells_over_lines_and_splits(spark, tmp_path, delimiter):
     assert [r["fields"]["note"] or "" for r in rows] == [r[3] for _, r in expected]
 
 
+def test_csv_limits(spark, tmp_path):
+    """A cell over the limit is a dead letter; a cell never closed ends the file."""
+    path = tmp_path / "limits.csv"
+    rows = ["time,level,msg", '1,INFO,"' + "x" * 131_073 + '"', "1,INFO,fine",
+            '1,INFO,"' + "\n" * 131_080 + '"', '1,INFO,"open', "1,INFO,inside"]
+    path.write_text("\n".join(rows) + "\n")
+    found = rows_of(read_records(spark, str(path)))
+    assert [(r["line_number"], r["message"], r["reason"]) for r in found] == [
+        (2, None, "CSV field is larger than 131072"),
+        (3, "fine", None),
+        (131_084, None, "CSV field is larger than 131072"),
+        (131_086, found[3]["message"], None),
+    ]
+    assert found[3]["message"].endswith("open\n1,INFO,inside")
+
+
 def test_csv_header_missing(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     (tmp_path / "blank.csv").write_text("\ntime,level,msg\n1,INFO,x\n")
