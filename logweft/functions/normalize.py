@@ -9,9 +9,20 @@ from pyspark.sql import functions as F
 
 from ..constants import EMPTY_MESSAGE, FINGERPRINT_LENGTH, NORMALIZE_RULES
 from .privacy import mask_text
-from .text import blank_to_null, replace_all
-
-_RULES = {name: (pattern, replacement) for name, pattern, replacement in NORMALIZE_RULES}
+from .text import blank_to_null, replace_all, starting_with
+
+# Characters a match can start with, tested before the costlier word borders.
+_FIRST = {
+    "uuid": "0-9a-f",
+    "timestamp": r"\d",
+    "hex": "0-9a-f",
+    "keyed_id": "a-z_",
+    "number": r"\-\d",
+}
+_RULES = {
+    name: (starting_with(_FIRST[name], pattern), replacement)
+    for name, pattern, replacement in NORMALIZE_RULES
+}
 
 
 def normalize_rule(value: Column, name: str) -> Column:

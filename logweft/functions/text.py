@@ -19,6 +19,11 @@ def blank_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+def starting_with(characters: str | None, pattern: str) -> str:
+    """The same pattern with a cheap test of the first character in front."""
+    return f"(?i)(?=[{characters}]){pattern}" if characters else pattern
+
+
 def replace_all(value: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(value, F.lit(UNICODE + pattern), F.lit(replacement))
 
