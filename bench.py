@@ -41,7 +41,7 @@ def main() -> None:
     from logweft.plans.analyze import analyze_files
     from logweft.queries import QUERIES
     from logweft.queries.common import json_folder, plain_folder
-    from logweft.session import build_session
+    from logweft.session import build_session, new_path
 
     spark = build_session(
         "bench",
@@ -66,7 +66,7 @@ def main() -> None:
     def whole(name: str):
         return lambda: QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
 
-    def analyze_text(name: str, folder: str):
+    def analyze_text(name: str, folder: str | list[str]):
         def run() -> None:
             report = analyze_files(spark, folder, log_format=name)
             for part in (report.summary, report.top_errors, report.top_correlations):
@@ -80,6 +80,11 @@ def main() -> None:
     seconds = {name: timed(whole(name)) for name in HEADLINE}
     for name, folder in folders.items():
         seconds[f"analyze_files_{name}"] = timed(analyze_text(name, folder))
+    # The same log ten times over, as ten inputs: the share of fixed costs shrinks.
+    copies = [new_path(spark, "bench-copy") for _ in range(10)]
+    for copy in copies:
+        spark.read.text(folders["jsonl"]).write.text(copy)
+    seconds["analyze_files_jsonl_x10"] = timed(analyze_text("jsonl", copies))
     lines = spark.read.parquet(f"{SF_DIR}/events.parquet").count()
     print(
         json.dumps(
@@ -89,7 +94,9 @@ def main() -> None:
                 "unit": "sec",
                 "queries": seconds,
                 "lines_per_second": {
-                    name: round(lines / seconds[f"analyze_files_{name}"]) for name in folders
+                    "plain": round(lines / seconds["analyze_files_plain"]),
+                    "jsonl": round(lines / seconds["analyze_files_jsonl"]),
+                    "jsonl_x10": round(10 * lines / seconds["analyze_files_jsonl_x10"]),
                 },
                 "lines": lines,
                 "sf": Path(SF_DIR).name.removeprefix("sf"),
