@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from . import packing, token_files
+from . import line_dedup, packing, personal_data, token_files
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "packing", "token_files"]
+__all__ = ["ORACLES", "QUERIES", "line_dedup", "packing", "personal_data", "token_files"]
