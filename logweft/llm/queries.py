@@ -1,12 +1,13 @@
 """All queries of this subpackage."""
 
-from . import line_dedup, packing, personal_data, recompression, suffix_dedup, token_files
+from . import line_dedup, near_dups, packing, personal_data, recompression, suffix_dedup, token_files
 from .registry import ORACLES, QUERIES
 
 __all__ = [
     "ORACLES",
     "QUERIES",
     "line_dedup",
+    "near_dups",
     "packing",
     "personal_data",
     "recompression",
