@@ -1,16 +1,28 @@
 """All queries of this subpackage."""
 
-from . import line_dedup, near_dups, packing, personal_data, recompression, suffix_dedup, token_files
+from . import (
+    contamination,
+    line_dedup,
+    near_dups,
+    packing,
+    personal_data,
+    recompression,
+    secrets,
+    suffix_dedup,
+    token_files,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = [
     "ORACLES",
     "QUERIES",
+    "contamination",
     "line_dedup",
     "near_dups",
     "packing",
     "personal_data",
     "recompression",
+    "secrets",
     "suffix_dedup",
     "token_files",
 ]
