@@ -6,6 +6,7 @@ from . import (
     near_dups,
     packing,
     personal_data,
+    quality,
     recompression,
     secrets,
     suffix_dedup,
@@ -21,6 +22,7 @@ __all__ = [
     "near_dups",
     "packing",
     "personal_data",
+    "quality",
     "recompression",
     "secrets",
     "suffix_dedup",
