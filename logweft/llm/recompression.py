@@ -155,26 +155,23 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...]:
 
 
 def payloads(text: bytes, rows: np.ndarray) -> list[bytes]:
-    """Two hashes of every window of each record: 128 bits verify a sequence."""
+    """A hash of every window of each record; with the key it makes 128 bits."""
     names = word_hashes(text)
-    out = []
-    for first, n in zip(rows["first"].tolist(), rows["n"].tolist(), strict=True):
-        own = names[first : first + n + WIDTH - 1]
-        start = np.arange(n)
-        pair = [span_hashes(prefix_hashes(x), start, start + WIDTH) for x in (own, mix(own ^ _SALT))]
-        out.append(np.stack(pair, 1).tobytes())
-    return out
+    behind = np.cumsum(rows["n"])
+    start = np.arange(behind[-1]) - np.repeat(behind - rows["n"] - rows["first"], rows["n"])
+    hashes = span_hashes(prefix_hashes(mix(names ^ _SALT)), start, start + WIDTH).tobytes()
+    return [hashes[8 * (b - n) : 8 * b] for b, n in zip(behind.tolist(), rows["n"].tolist(), strict=True)]
 
 
 def resolve(rows: np.ndarray, hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Windows whose sequence occurs earlier under the same symbol."""
-    both = np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2)
+    verified = np.frombuffer(b"".join(hashes), np.uint64)
     record = np.repeat(np.arange(len(rows)), rows["n"])
     window = np.arange(len(record)) - np.repeat(np.cumsum(rows["n"]) - rows["n"], rows["n"])
-    place = rows["first"][record] + window
-    order = np.lexsort((place, rows["doc"][record], both[:, 1], both[:, 0]))
+    key, place = rows["key"][record], rows["first"][record] + window
+    order = np.lexsort((place, rows["doc"][record], verified, key))
     again = np.zeros(len(order), bool)
-    again[1:] = (both[order][1:] == both[order][:-1]).all(axis=1)
+    again[1:] = (verified[order][1:] == verified[order][:-1]) & (key[order][1:] == key[order][:-1])
     chosen = order[again]
     return record[chosen], window[chosen]
 
