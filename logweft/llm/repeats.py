@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import DOC, materialize, partitions, slices
 
 RECORD = np.dtype([("key", "<u8"), ("group", "<u8"), ("doc", "<i8"), ("first", "<i8"), ("n", "<i4"), ("off", "<i4")])
+BUCKETS_PER_TASK = 8
 ROWS = f"{DOC} long, start long, n int, off int, key long"
 
 
@@ -120,7 +121,8 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
     ``docs`` has ``_doc`` (unique, in the order of the documents) and ``text``.
     """
     spark = docs.sparkSession
-    n_buckets = partitions(spark)
+    # Several buckets for each task: their hashes spread more evenly than the tasks' own.
+    n_buckets = BUCKETS_PER_TASK * partitions(spark)
     width = windows.width
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +176,7 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
             )
 
     sent = docs.select(DOC, "text").mapInArrow(records, "bucket int, copies int, data binary")
-    by_bucket = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+    by_bucket = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     settled = materialize(by_bucket.mapInArrow(settle, ROWS), "settled")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +224,7 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
     )
     contexts = docs.select(DOC, "text").join(open_, DOC).select(DOC, "text", "wanted")
     payloads = contexts.mapInArrow(cut, "bucket int, data binary, sizes binary, payload binary")
-    compared = payloads.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, ROWS)
+    compared = payloads.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(compare, ROWS)
     spans = settled.filter(F.col("key").isNull()).unionByName(compared)
     return spans.groupBy(DOC).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 

@@ -40,9 +40,27 @@ def suffix_array(text: list[int]) -> list[int]:
     end = n - 1
     while end >= zeros:
         group = link[order[end]]
+        if group == end:
+            # Most groups hold one suffix: its parent moves to the end of its own group.
+            s = order[end]
+            p = s - 1
+            while p >= 0 and link[p] > group:
+                p = previous[p]
+            previous[s] = p
+            if p >= 0 and text[p]:
+                g = link[p]
+                if size[g] > 1:
+                    size[g] -= 1
+                    last = g + size[g]
+                    i, q = place[p], order[last]
+                    order[i], order[last] = q, p
+                    place[q], place[p] = i, last
+                    link[p] = last
+                    size[last] = 1
+            end -= 1
+            continue
         members = order[group : end + 1]
-        if len(members) > 1:
-            members.sort()
+        members.sort()
         found: dict[int, int] = {}
         for s in members:
             p = s - 1
@@ -51,18 +69,7 @@ def suffix_array(text: list[int]) -> list[int]:
             previous[s] = p
             if p >= 0 and text[p]:
                 found[p] = found.get(p, 0) + 1
-        if len(found) == 1:
-            ((p, times),) = found.items()
-            g = link[p]
-            if size[g] > 1:
-                last = g + size[g] - 1
-                i, q = place[p], order[last]
-                order[i], order[last] = q, p
-                place[q], place[p] = i, last
-                link[p] = last
-                size[last] = 1
-                size[g] -= 1
-        elif found:
+        if found:
             by_group: dict[int, list[int]] = {}
             for p in found:
                 by_group.setdefault(link[p], []).append(p)
