@@ -9,10 +9,12 @@ that prefix is posted, and tokens that a document has alone drop out of it. Cand
 that survive the count of all agreeing coordinates are confirmed on the full sets.
 
 No list emits all its pairs. In a few rounds each posting list compares its documents
-with one pivot, another in every round, and components grow. What is left to compare are
-documents of different components in one list; the rounds go on until these are few,
-then all of them are compared. Pairs inside a component need no comparison, so a group of
-near copies costs about as many comparisons as it has documents.
+with one pivot, first the one whose tokens are the most common, then such a one outside
+the largest component, and components grow. Pairs inside a component need no comparison,
+so a group of near copies costs about as many comparisons as it has documents. What is
+left are documents of different components in one list. Shingles that only one of all
+these documents has bound what it can share with any other; documents and pairs beyond
+the bound go without a comparison, all others are compared.
 
 A pair at the limit of 0.75 agrees in 24 of 32 coordinates on average; it is missed if
 fewer than 12 agree: probability 6e-6, and only if no third document links the two.
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import BASE, mix, prefix_hashes, span_hashes
@@ -42,9 +44,9 @@ from .registry import query
 SHINGLE = 5
 COORDINATES = 32
 MATCHES = 12
-#: Pivot rounds at most, and how many pairs for each posting the last step may compare.
-ROUNDS = 4
-PAIRS_PER_POSTING = 2
+#: Pivot rounds at most; they end early when this many pairs for each posting are left.
+ROUNDS = 3
+PAIRS_PER_POSTING = 0.1
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * BASE)
 
 
@@ -87,7 +89,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def postings(signed: DataFrame) -> DataFrame:
-    """``token`` and ``_doc`` for the prefix of each document that can have a partner."""
+    """``token``, ``_doc`` and ``score`` for the prefix of each document that can have a
+    partner. The score is high for documents whose tokens many others have."""
     rows = signed.select(DOC, F.explode("tokens").alias("token"))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     ranked = rows.join(shared, "token").groupBy(DOC).agg(
@@ -96,9 +99,54 @@ def postings(signed: DataFrame) -> DataFrame:
     # The tokens that a document has alone come first in its order and take their part
     # of the prefix.
     prefix = F.size("own") - F.lit(MATCHES - 1)
-    return ranked.filter(prefix > 0).select(DOC, F.explode(F.slice("own", F.lit(1), prefix)).alias("t")).select(
-        F.col("t.token").alias("token"), DOC
+    score = F.aggregate("own", F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    return ranked.filter(prefix > 0).select(
+        DOC, score.alias("score"), F.explode(F.slice("own", F.lit(1), prefix)).alias("t")
+    ).select(F.col("t.token").alias("token"), DOC, "score")
+
+
+def shareable(texts: DataFrame) -> DataFrame:
+    """``_doc``, ``n`` and ``s``: shingles of each document, and those that another one of
+    ``texts`` has too."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(text) for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            values = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(values)], [DOC, "h"])
+
+    rows = materialize(texts.select(DOC, "text").mapInArrow(cut, f"{DOC} long, h long"), "shingles")
+    alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(DOC).alias(DOC)).filter("n = 1")
+    lost = alone.groupBy(DOC).agg(F.count(F.lit(1)).alias("u"))
+    sizes = rows.groupBy(DOC).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(lost, DOC, "left").select(DOC, "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+
+
+def remaining_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of documents of different components in one list that can be similar.
+
+    Similar sets share at least 75 / 175 of the sum of their sizes, and no more than
+    either shares with any document at all.
+    """
+    open_ = placed.select(DOC).distinct()
+    bounds = materialize(shareable(texts.join(open_, DOC, "left_semi")), "bounds")
+    rows = placed.join(bounds, DOC)
+    ends = rows.groupBy("token").agg(F.min("n").alias("least_n"), F.max("s").alias("most_s"))
+    able = 175 * F.least("s", "most_s") >= 75 * (F.col("n") + F.col("least_n"))
+    rows = materialize(rows.join(ends, "token").filter(able).select("token", DOC, "label", "main", "n", "s"), "open")
+    # Every pair of different components has a side outside the largest one.
+    minor = rows.filter(F.col("label") != F.col("main")).select(
+        "token", F.col(DOC).alias("a"), F.col("label").alias("la"), "main", F.col("n").alias("na"), F.col("s").alias("sa")
     )
+    other = rows.select("token", F.col(DOC).alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    return minor.join(
+        other,
+        (minor["token"] == other["token"])
+        & (F.col("la") != F.col("lb"))
+        & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
+        & (175 * F.least("sa", "sb") >= 75 * (F.col("na") + F.col("nb"))),
+    ).select("a", "b")
 
 
 def confirm(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -158,7 +206,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if labels is not None:
             placed = placed.join(labels.withColumnRenamed("node", DOC), DOC, "left")
         placed = placed.withColumn("label", F.coalesce("label", DOC) if labels is not None else F.col(DOC))
-        parts = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.min(DOC).alias("least"))
+        parts = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
         lists = parts.groupBy("token").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inner"),
             F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"),
@@ -170,17 +218,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         placed = placed.join(lists.select("token", F.col("main.label").alias("main")), "token")
         last = left <= PAIRS_PER_POSTING * n_postings or number == ROUNDS
         if last:
-            # Every pair of different components has a side outside the largest one.
-            minor = placed.filter(F.col("label") != F.col("main")).select(
-                "token", F.col(DOC).alias("a"), F.col("label").alias("la"), "main"
-            )
-            other = placed.select("token", F.col(DOC).alias("b"), F.col("label").alias("lb"))
-            pairs = minor.join(other, "token").filter(
-                (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
-            )
+            pairs = remaining_pairs(placed, texts)
         else:
-            mark = F.xxhash64(DOC, F.lit(number)) if number else F.col(DOC)
-            pivots = placed.groupBy("token").agg(F.min(F.struct(mark.alias("mark"), DOC, "label")).alias("pivot"))
+            # The most central document; later on, the most central one outside the
+            # largest component.
+            choice = F.struct("score", DOC, "label")
+            outside = F.when(F.col("label") != F.col("main"), choice) if number else choice
+            pivots = placed.groupBy("token").agg(F.max(outside).alias("pivot"))
             pairs = placed.join(pivots, "token").filter(F.col("label") != F.col("pivot.label")).select(
                 F.col(DOC).alias("a"), F.col(f"pivot.{DOC}").alias("b")
             )
