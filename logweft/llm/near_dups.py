@@ -9,8 +9,8 @@ that prefix is posted, and tokens that a document has alone drop out of it. Cand
 that survive the count of all agreeing coordinates are confirmed on the full sets.
 
 No list emits all its pairs. In a few rounds each posting list compares its documents
-with one pivot, first the one whose tokens are the most common, then such a one outside
-the largest component, and components grow. Pairs inside a component need no comparison,
+with one pivot, and each document takes the best of its pivots: first one whose tokens are the most common, then such a one outside
+the largest component. Components grow. Pairs inside a component need no comparison,
 so a group of near copies costs about as many comparisons as it has documents. What is
 left are documents of different components in one list. Shingles that only one of all
 these documents has bound what it can share with any other; documents and pairs beyond
@@ -45,7 +45,7 @@ SHINGLE = 5
 COORDINATES = 32
 MATCHES = 12
 #: Pivot rounds at most; they end early when this many pairs for each posting are left.
-ROUNDS = 3
+ROUNDS = 4
 PAIRS_PER_POSTING = 0.1
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * BASE)
 
@@ -225,7 +225,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             choice = F.struct("score", DOC, "label")
             outside = F.when(F.col("label") != F.col("main"), choice) if number else choice
             pivots = placed.groupBy("token").agg(F.max(outside).alias("pivot"))
-            pairs = placed.join(pivots, "token").filter(F.col("label") != F.col("pivot.label")).select(
+            met = placed.join(pivots, "token").filter(F.col("label") != F.col("pivot.label"))
+            # One comparison for each document in a round: with the best of its pivots.
+            pairs = met.groupBy(DOC).agg(F.max("pivot").alias("pivot")).select(
                 F.col(DOC).alias("a"), F.col(f"pivot.{DOC}").alias("b")
             )
         pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
