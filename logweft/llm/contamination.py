@@ -112,20 +112,20 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 OP5_SQL = r"""
 WITH b AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS words FROM benchmark
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM benchmark
 ), d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS words FROM documents
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents
 ), bw AS (
-  SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[i:i + 9], ' ') AS window
+  SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[i:i + 9], ' ') AS seq
   FROM b, unnest(range(1, greatest(len(words) - 8, 2))) AS t(i) WHERE len(words) > 0
 ), sizes AS (
   SELECT DISTINCT size FROM bw
 ), dw AS (
-  SELECT doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS window
+  SELECT doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS seq
   FROM d, sizes, unnest(range(1, greatest(len(words) - size + 2, 1))) AS t(i)
 ), hits AS (
-  SELECT doc_id, i, bw.size, item_id FROM dw JOIN bw ON dw.size = bw.size AND dw.window = bw.window
+  SELECT doc_id, i, bw.size, item_id FROM dw JOIN bw ON dw.size = bw.size AND dw.seq = bw.seq
 ), hit_words AS (
   SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hits, unnest(range(10)) AS t(j) WHERE j < size GROUP BY doc_id
 ), items AS (

@@ -247,7 +247,7 @@ OP6_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle

@@ -209,13 +209,13 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 OP10_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents
 ), windows AS (
-  SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS window
+  SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS seq
   FROM w, unnest(range(1, greatest(len(words) - 18, 1))) AS t(i)
 ), ranked AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY window ORDER BY doc_id, i) AS k FROM windows
+  SELECT doc_id, i, row_number() OVER (PARTITION BY seq ORDER BY doc_id, i) AS k FROM windows
 ), marks AS (
   SELECT doc_id, i + j AS i FROM ranked, unnest(range(20)) AS t(j) WHERE k > 1
 ), gone AS (
