@@ -139,7 +139,9 @@ def trace_gate(trace: DataFrame) -> DataFrame:
 
 
 def require(gates: DataFrame) -> None:
-    """Raise if any gate failed, naming the first ones."""
-    failed = gates.where(~F.col("passed")).limit(20).collect()
-    if failed:
-        raise RuntimeError("; ".join(f"{row['gate']}: {row['detail']}" for row in failed))
+    """Raise if any gate failed, with their number and the first ones by name."""
+    failed = gates.where(~F.col("passed"))
+    count = failed.count()
+    if count:
+        named = [f"{row['gate']}: {row['detail']}" for row in failed.limit(20).collect()]
+        raise RuntimeError(f"{count} gates failed: {'; '.join(named)}")

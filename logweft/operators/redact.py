@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.privacy import mask_text
+from ..sources.lines import concrete_paths, covers, normal_path
 
 
 def redact(rows: DataFrame, column: str = "value") -> DataFrame:
@@ -18,16 +21,29 @@ def redact_file(
     """Write the masked lines of ``source`` as text and return their number.
 
     A destination ending in ``.gz`` is written with gzip. An existing one is an
-    error unless ``overwrite`` is set.
+    error unless ``overwrite`` is set. Neither may lie in the other. The copy is
+    written next to its destination and takes its place when it is complete.
     """
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    if jvm_path(source).toUri().normalize().equals(jvm_path(destination).toUri().normalize()):
+    hadoop_conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm_path(destination)
+    system = target.getFileSystem(hadoop_conf)
+    target = system.makeQualified(target)
+    inputs, output = concrete_paths(spark, source), normal_path(target.toString())
+    if any(covers(path, output) or covers(output, path) for path in inputs):
         raise ValueError("source and destination must be different")
+    if system.exists(target) and not overwrite:
+        raise ValueError(f"[PATH_ALREADY_EXISTS] {destination}")
     seen = Observation()
     lines = spark.read.text(source).select(F.make_valid_utf8("value").alias("value"))
     masked = redact(lines).observe(seen, F.count("*").alias("lines"))
-    writer = masked.write.mode("overwrite" if overwrite else "error")
+    draft = jvm_path(f"{output}.{uuid.uuid4().hex[:12]}")
+    writer = masked.write
     if destination.lower().endswith(".gz"):
         writer = writer.option("compression", "gzip")
-    writer.text(destination)
+    writer.text(draft.toString())
+    if overwrite:
+        system.delete(target, True)
+    if not system.rename(draft, target):
+        raise OSError(f"cannot rename {draft} to {destination}")
     return seen.get["lines"]

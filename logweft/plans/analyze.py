@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.caps import dropped_count, first_seen_cap
 from ..operators.cells import count_cells, error_cells, summary_cube
 from ..operators.compare import (
+    DEFAULT_TOP,
     compare_summary,
     error_changes,
     new_errors,
@@ -114,17 +115,23 @@ def analyze(records: DataFrame, options: AnalyzeOptions | None = None) -> Analys
     )
 
 
-def compare(baseline: DataFrame, current: DataFrame) -> ComparisonReport:
-    """Differences between two sets of records, in one pass over both."""
+def compare(
+    baseline: DataFrame, current: DataFrame, top: int | None = DEFAULT_TOP
+) -> ComparisonReport:
+    """Differences between two sets of records, in one pass over both.
+
+    New and resolved errors and services are among the ``top`` largest of each period,
+    among all if it is None.
+    """
     columns = ["timestamp", "level", "service", "message", "arrival"]
     tagged = tag_periods(baseline.select(columns), current.select(columns))
     cells = materialize(period_cells(tagged.where(F.col("level").isNotNull())), "periods")
     summary = compare_summary(cells)
     return ComparisonReport(
         summary=summary,
-        new_errors=new_errors(cells),
-        resolved_errors=resolved_errors(cells),
-        service_error_deltas=service_error_deltas(cells),
+        new_errors=new_errors(cells, top),
+        resolved_errors=resolved_errors(cells, top),
+        service_error_deltas=service_error_deltas(cells, top),
         error_changes=error_changes(cells),
         gates=regression_gate(summary),
     )
@@ -146,10 +153,12 @@ def compare_files(
     baseline: str | list[str],
     current: str | list[str],
     default_timezone: str = "UTC",
+    top: int | None = DEFAULT_TOP,
 ) -> ComparisonReport:
     return compare(
         read_records(spark, baseline, default_timezone),
         read_records(spark, current, default_timezone),
+        top,
     )
 
 

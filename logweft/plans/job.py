@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     analyze.add_argument("--fail-on-anomaly", action="store_true")
     compare = command("compare")
     compare.add_argument("--current", nargs="+", required=True)
+    compare.add_argument("--top", type=int, default=10)
     trace = command("trace")
     trace.add_argument("--correlation-id", required=True)
     trace.add_argument("--max-events", type=int, default=1000)
@@ -74,7 +75,7 @@ def run(spark, args: argparse.Namespace) -> None:
         chosen = [name for name, on in wanted.items() if on]
         require(report.gates.where(report.gates["gate"].isin(chosen)))
     elif args.command == "compare":
-        report = compare_files(spark, args.paths, args.current, args.default_timezone)
+        report = compare_files(spark, args.paths, args.current, args.default_timezone, args.top)
         write_report(report, args.output)
     elif args.command == "trace":
         records = read_records(spark, args.paths, args.default_timezone)

@@ -265,7 +265,7 @@ app AS (
     CASE event_type WHEN 'error' THEN CASE WHEN event_id % 20 = 0 THEN 'CRITICAL' ELSE 'ERROR' END
       WHEN 'purchase' THEN 'WARNING' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END AS level,
     event_type = 'error' AS is_error,
-    ['gateway','orders','payments','inventory','notifications'][CAST(user_id % 5 + 1 AS INTEGER)]
+    ['boiler','pump','alarm','office','dock'][CAST(user_id % 5 + 1 AS INTEGER)]
       AS service,
     'req-' || user_id AS correlation_id,
     CASE WHEN event_id % 10 = 7 THEN CASE WHEN ts < TIMESTAMP '{PERIOD_CUT}'

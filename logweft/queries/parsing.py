@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import DEMO_SERVICES
+from ..constants import DEMO_ERROR_MESSAGES, DEMO_NORMAL_MESSAGES, DEMO_SERVICES
 from ..functions import fields
 from ..functions.privacy import issue_preview as preview_of
 from ..functions.timestamps import parse_timestamp
@@ -532,7 +532,13 @@ def write_report_json(spark, sf_dir):
 
 
 _DRAW = "(CAST('0x' || left(md5('42:{0}:' || event_id), 8) AS BIGINT) / 4294967296.0)"
-_SERVICES = "[" + ",".join(f"'{name}'" for name in DEMO_SERVICES) + "]"
+
+
+def _listed(texts: list[str]) -> str:
+    return "[" + ",".join(f"'{text}'" for text in texts) + "]"
+
+
+_SERVICES, _ERRORS, _NORMAL = map(_listed, (DEMO_SERVICES, DEMO_ERROR_MESSAGES, DEMO_NORMAL_MESSAGES))
 _DEMO = f"""
 WITH size AS (SELECT count(*) AS n FROM events),
 drawn AS (
@@ -547,13 +553,9 @@ demo AS (
       WHEN l < 0.08 THEN 'WARNING' ELSE 'INFO' END AS level,
     {_SERVICES}[event_id % 5 + 1] AS service,
     'demo-' || lpad(CAST(event_id // 5 AS VARCHAR), 8, '0') AS correlation_id,
-    CASE WHEN burst OR e < 0.07 THEN replace(['database timeout after 5000 ms for order id={{id}}',
-        'connection refused by inventory node 192.0.2.44',
-        'authentication failed for user demo.user@example.test',
-        'upstream returned error code 502 request_id={{id}}'][CAST(floor(m * 4) AS BIGINT) + 1],
+    CASE WHEN burst OR e < 0.07 THEN replace({_ERRORS}[CAST(floor(m * 4) AS BIGINT) + 1],
         '{{id}}', CAST(100000 + event_id AS VARCHAR))
-      ELSE ['request completed', 'cache entry refreshed', 'database query completed',
-        'worker heartbeat accepted'][CAST(floor(m * 4) AS BIGINT) + 1] END AS message
+      ELSE {_NORMAL}[CAST(floor(m * 4) AS BIGINT) + 1] END AS message
   FROM drawn
 )"""
 

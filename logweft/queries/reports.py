@@ -341,7 +341,7 @@ def compare_untruncated(spark, sf_dir):
 _HOPS = """
 hops AS (
   SELECT event_id, "timestamp", correlation_id, level, is_error,
-    ['gateway','orders','payments'][CAST(event_id % 3 + 1 AS INTEGER)] AS service, message, arrival
+    ['boiler','pump','alarm'][CAST(event_id % 3 + 1 AS INTEGER)] AS service, message, arrival
   FROM app
 ),
 moves AS (

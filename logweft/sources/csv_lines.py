@@ -15,7 +15,6 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CSV_FIELD_LIMIT
 from ..operators.parse import finish_records, mapping_records
 from ..session import lookup_join, materialize
 from .lines import present
@@ -64,7 +63,7 @@ def _line_states(lines: DataFrame, dialects: list) -> DataFrame:
 
 def stitch_lines(lines: DataFrame) -> DataFrame:
     """Join the lines of each record: source, line_number (last line), arrival,
-    first_line, value, too_long.
+    first_line, value.
 
     ``lines`` has source, line_number, arrival, value, _opens and _stays.
     """
@@ -124,7 +123,6 @@ def stitch_lines(lines: DataFrame) -> DataFrame:
         "arrival",
         F.col("line_number").alias("first_line"),
         "value",
-        F.lit(False).alias("too_long"),
     )
     parts = lookup_join(
         states.where(~single),
@@ -133,23 +131,20 @@ def stitch_lines(lines: DataFrame) -> DataFrame:
         F.col("line_number"),
         how="inner",
     ).withColumn("first_line", F.coalesce("_begun", "_carried"))
-    # A line this far from the start of its record belongs to a cell over the limit.
-    near = F.col("line_number") - F.col("first_line") <= CSV_FIELD_LIMIT
     text = F.transform(
-        F.array_sort(F.collect_list(F.when(near, F.struct("line_number", "value")))),
+        F.array_sort(F.collect_list(F.struct("line_number", "value"))),
         lambda part: part["value"],
     )
     joined = parts.groupBy("source", "first_line").agg(
         F.max("line_number").alias("line_number"),
         F.max("arrival").alias("arrival"),
         F.array_join(text, "\n").alias("value"),
-        F.max(~near).alias("too_long"),
     )
     return whole.unionByName(joined)
 
 
 def csv_rows(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """Rows of cells: source, line_number, arrival, header, cells, too_long.
+    """Rows of cells: source, line_number, arrival, header, cells.
 
     ``lines`` are numbered lines of CSV files, ``heads`` the dialects and headers.
     """
@@ -166,7 +161,6 @@ def csv_rows(lines: DataFrame, heads: DataFrame) -> DataFrame:
         "arrival",
         F.col("line_number").alias("first_line"),
         "value",
-        F.lit(False).alias("too_long"),
         *_DIALECT,
         "header",
     )
@@ -193,6 +187,7 @@ def csv_rows(lines: DataFrame, heads: DataFrame) -> DataFrame:
             "sep": dialect["delimiter"],
             "quote": dialect["quote"],
             "escape": dialect["quote"],
+            "maxColumns": str((width or 0) + 20_480),
             "ignoreLeadingWhiteSpace": str(dialect["skip_space"]).lower(),
         }
         return F.from_csv("value", schema, options)
@@ -206,7 +201,6 @@ def csv_rows(lines: DataFrame, heads: DataFrame) -> DataFrame:
         "arrival",
         "header",
         F.slice(row, F.lit(1), F.size("header")).alias("cells"),
-        "too_long",
     )
 
 
@@ -245,10 +239,7 @@ def csv_records(lines: DataFrame, heads: DataFrame, default_timezone: str = "UTC
         "arrival",
         "header",
         "cells",
-        F.when(
-            F.col("too_long") | F.exists("cells", lambda cell: F.char_length(cell) > CSV_FIELD_LIMIT),
-            F.lit(f"CSV field is larger than {CSV_FIELD_LIMIT}"),
-        ).alias("_shape_reason"),
+        F.lit(None).cast("string").alias("_shape_reason"),
         preview.alias("_preview_text"),
     )
     parsed = mapping_records(shaped, F.col("header"), F.col("cells"), default_timezone)

@@ -70,9 +70,9 @@ def _looks_like_csv(sample: str) -> bool:
     return bool(keys & set(FIELD_ALIASES["timestamp"])) and bool(keys & set(FIELD_ALIASES["message"]))
 
 
-def describe_head(source: str, suffix: str | None, lines: list[str]) -> dict:
-    """Format of one file, and its CSV dialect and header, from its first lines."""
-    filled = [line for line in lines if line.strip()][:SNIFF_LINES]
+def describe_head(source: str, suffix: str | None, lines: list[str], filled: list[str]) -> dict:
+    """Format of one file, and its CSV dialect and header, from its first lines and its
+    first ones that are not blank."""
     found = suffix
     if found is None:
         found = "plain"
@@ -89,17 +89,19 @@ def describe_head(source: str, suffix: str | None, lines: list[str]) -> dict:
             "delimiter": dialect.delimiter,
             "quote": dialect.quotechar or '"',
             "skip_space": bool(dialect.skipinitialspace),
-            "header": _header(sample, dialect),
+            # The sample is for the dialect only, the header may be longer.
+            "header": _header("".join(f"{line}\n" for line in lines), dialect),
             "sample": sample[:200],
         }
     return row
 
 
 def _describe_group(rows: pd.DataFrame) -> pd.DataFrame:
-    first = rows.sort_values("place")
-    source, suffix = first["source"].iloc[0], first["suffix"].iloc[0]
+    ordered = rows.sort_values("place")
+    first, filled = ordered[ordered["first"]], ordered[~ordered["first"]]
+    source, suffix = rows["source"].iloc[0], rows["suffix"].iloc[0]
     columns = [part.split()[0] for part in HEAD_SCHEMA.split(", ")]
-    head = describe_head(source, suffix or None, list(first["value"]))
+    head = describe_head(source, suffix or None, list(first["value"]), list(filled["value"]))
     return pd.DataFrame([head])[columns]
 
 
@@ -122,13 +124,23 @@ def sniff_heads(
 
     def first_lines(source: str) -> DataFrame:
         # A line has at least its line end, so these are all characters needed.
-        lines = reader.read.text(source).limit(SNIFF_CHARS)
-        return lines.select(
-            F.lit(source).alias("source"),
-            F.lit(suffixes[source] or "").alias("suffix"),
-            F.monotonically_increasing_id().alias("place"),
-            F.make_valid_utf8("value").alias("value"),
-        )
+        text = reader.read.text(source)
+
+        def part(lines: DataFrame, first: bool) -> DataFrame:
+            return lines.select(
+                F.lit(source).alias("source"),
+                F.lit(suffixes[source] or "").alias("suffix"),
+                F.lit(first).alias("first"),
+                F.monotonically_increasing_id().alias("place"),
+                F.make_valid_utf8("value").alias("value"),
+            )
+
+        lines = part(text.limit(SNIFF_CHARS), True)
+        if suffixes[source] is not None:
+            return lines
+        # However many blank lines come before them.
+        filled = text.where(F.col("value").rlike(r"(?U)\S")).limit(SNIFF_LINES)
+        return lines.unionByName(part(filled, False))
 
     target = new_path(spark, "heads")
     reader.createDataFrame([], HEAD_SCHEMA).write.parquet(target)

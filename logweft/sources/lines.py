@@ -7,6 +7,8 @@ numbers need the number of lines before each chunk of rows; that is a small tabl
 
 from __future__ import annotations
 
+import itertools
+import posixpath
 import re
 from urllib.parse import unquote
 
@@ -35,6 +37,33 @@ def checked_paths(paths: str | list[str]) -> list[str]:
     return listed
 
 
+def normal_path(path: str) -> str:
+    """One spelling of a qualified path."""
+    scheme, colon, rest = path.rpartition(":/")
+    return scheme + colon + posixpath.normpath("/" + rest.lstrip("/"))[1:] if colon else posixpath.normpath(path)
+
+
+def covers(folder: str, path: str) -> bool:
+    """Whether ``path`` is ``folder`` itself or lies in it."""
+    return path == folder or path.startswith(folder.rstrip("/") + "/")
+
+
+def concrete_paths(spark: SparkSession, path: str) -> list[str]:
+    """Qualified paths that an argument stands for; a pattern may stand for several."""
+    parsed = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = parsed.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.globStatus(system.makeQualified(parsed)) or []
+    return [normal_path(status.getPath().toString()) for status in found]
+
+
+def refuse_overlap(spark: SparkSession, paths: list[str]) -> None:
+    """Raise if one file would be read by two arguments, in whatever spelling."""
+    found = sorted(path.rstrip("/") + "/" for argument in paths for path in concrete_paths(spark, argument))
+    for before, path in itertools.pairwise(found):
+        if path.startswith(before):
+            raise ValueError(f"an input path is listed twice: {path.rstrip('/')}")
+
+
 def read_lines(
     spark: SparkSession, paths: str | list[str], files: Column | None = None
 ) -> DataFrame:
@@ -60,6 +89,7 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, s
     This is the listing that Spark itself keeps on the driver.
     """
     listed = checked_paths(paths)
+    refuse_overlap(spark, listed)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     hadoop_conf = spark.sparkContext._jsc.hadoopConfiguration()
 

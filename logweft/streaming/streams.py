@@ -30,15 +30,24 @@ def stream_records(
     return _PARSERS[log_format](stream_lines(spark, folder), default_timezone)
 
 
-def _start(stream: DataFrame, fmt: str, target: str, checkpoint: str, *partitions: str):
+def _start(
+    stream: DataFrame, fmt: str, target: str, checkpoint: str, every: str | None, *partitions: str
+) -> StreamingQuery:
+    """Without ``every``, what has arrived is handled and the query ends."""
     writer = stream.writeStream.format(fmt).outputMode("append").partitionBy(*partitions)
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start(target)
 
 
-def write_records(records: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Store records once, with events and dead letters in separate partitions."""
+def write_records(
+    records: DataFrame, target: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Store records once, with events and dead letters in separate partitions.
+
+    ``every`` is the interval of a query that goes on, such as "1 minute".
+    """
     marked = records.withColumn("malformed", F.col("reason").isNotNull())
-    return _start(marked, "parquet", target, checkpoint, "malformed")
+    return _start(marked, "parquet", target, checkpoint, every, "malformed")
 
 
 def stored_records(spark: SparkSession, target: str) -> DataFrame:
@@ -79,10 +88,14 @@ def stream_bursts(windows: DataFrame, threshold: int = 10) -> DataFrame:
     return windows.where(F.col("errors") >= threshold)
 
 
-def write_windows(windows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    return _start(windows, "parquet", target, checkpoint)
+def write_windows(
+    windows: DataFrame, target: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    return _start(windows, "parquet", target, checkpoint, every)
 
 
-def write_redacted(lines: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def write_redacted(
+    lines: DataFrame, target: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
     """Masked copy of arriving lines as text."""
-    return _start(redact(lines.select("value")), "text", target, checkpoint)
+    return _start(redact(lines.select("value")), "text", target, checkpoint, every)

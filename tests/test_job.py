@@ -13,12 +13,12 @@ def test_commands(spark, tmp_path, plain_log, jsonl_log):
     with pytest.raises(RuntimeError, match="1 malformed lines"):
         job("analyze", plain_log, "--output", tmp_path / "b", "--fail-on-malformed")
     job("compare", plain_log, "--current", jsonl_log, "--output", tmp_path / "c")
-    job("trace", plain_log, "--correlation-id", "req-1", "--output", tmp_path / "t")
+    job("trace", plain_log, "--correlation-id", "shift-9", "--output", tmp_path / "t")
     with pytest.raises(RuntimeError, match="not found"):
         job("trace", plain_log, "--correlation-id", "x", "--output", tmp_path / "u")
     with pytest.raises(RuntimeError, match="invalid lines"):
         job("validate", plain_log, "--output", tmp_path / "v")
     job("redact", plain_log, "--output", tmp_path / "r")
     job("generate-demo", "--lines", 20, "--output", tmp_path / "d")
-    assert spark.read.json(str(tmp_path / "c" / "summary")).first()["total_delta"] == -1
+    assert spark.read.json(str(tmp_path / "c" / "summary")).first()["total_delta"] == -2
     assert spark.read.json(str(tmp_path / "d")).count() == 20

@@ -46,16 +46,16 @@ def test_three_formats_together(spark, plain_log, jsonl_log, csv_log):
     report = analyze_files(spark, [plain_log, jsonl_log, csv_log])
     row = report.summary.first()
     assert (row["total_lines"], row["parsed_lines"], row["malformed_lines"], row["error_count"]) == (
-        8, 7, 1, 3)
-    assert row["error_rate"] == round(3 / 7, 6)
+        9, 8, 1, 4)
+    assert row["error_rate"] == 0.5
     groups = report.top_errors.collect()
-    assert (groups[0]["count"], groups[0]["normalized_message"]) == (2, "database timeout id=<id>")
-    assert groups[0]["examples"] == ["database timeout id=123", "database timeout id=456"]
-    assert [r["line_number"] for r in report.issue_samples.collect()] == [4]
+    assert (groups[0]["count"], groups[0]["normalized_message"]) == (3, "pressure sensor <number> silent")
+    assert groups[0]["examples"] == [f"pressure sensor {k} silent" for k in (17, 18, 99)]
+    assert [r["line_number"] for r in report.issue_samples.collect()] == [2]
     assert {r["gate"]: r["passed"] for r in report.gates.collect()} == {
         "parse-quality": False, "statistical-anomalies": True}
     levels = {r["level"]: r["count"] for r in report.levels.collect()}
-    assert levels == {"INFO": 3, "ERROR": 2, "WARNING": 1, "CRITICAL": 1}
+    assert levels == {"DEBUG": 1, "CRITICAL": 2, "WARNING": 2, "ERROR": 2, "INFO": 1}
 
 
 def test_bursts_and_anomalies(spark):
@@ -140,10 +140,10 @@ def test_examples_are_distinct_and_in_order(spark):
 def test_compare_files(spark, plain_log, jsonl_log):
     report = compare_files(spark, plain_log, jsonl_log)
     row = report.summary.first()
-    assert (row["total_delta"], row["error_delta"]) == (-1, 0)
+    assert (row["total_delta"], row["error_delta"]) == (-2, -1)
     assert report.new_errors.isEmpty() and report.resolved_errors.isEmpty()
     assert [(r["service"], r["error_delta"]) for r in report.service_error_deltas.collect()] == [
-        ("orders", 0)]
+        ("pump", -1)]
     assert report.gates.first()["passed"]
 
 
@@ -159,20 +159,20 @@ def test_compare_changes(spark):
 
 def test_trace(spark, plain_log):
     records = read_records(spark, plain_log)
-    report = trace.trace_correlation(records, "req-1")
+    report = trace.trace_correlation(records, "shift-9")
     row = report.summary.first()
-    assert row["service_chain"] == ["gateway", "orders", "payments"]
+    assert row["service_chain"] == ["boiler", "alarm", "pump"]
     assert (row["matched_events"], row["truncated"], row["malformed_lines"]) == (3, False, 1)
-    short = trace.trace_correlation(records, "req-1", 2)
+    short = trace.trace_correlation(records, "shift-9", 2)
     assert short.summary.first()["truncated"]
-    assert [r["line_number"] for r in short.events.collect()] == [1, 2]
+    assert [r["line_number"] for r in short.events.collect()] == [1, 4]
     missing = trace.trace_correlation(records, "nobody").summary
     assert missing.first()["matched_events"] == 0
     assert not quality.trace_gate(missing).first()["passed"]
     with pytest.raises(ValueError):
         trace.trace_correlation(records, "  ")
     with pytest.raises(ValueError):
-        trace.trace_correlation(records, "req-1", 0)
+        trace.trace_correlation(records, "shift-9", 0)
 
 
 def test_service_chains_against_plain_python(spark):
@@ -220,10 +220,10 @@ def test_validation(spark, plain_log, jsonl_log, tmp_path):
     empty.write_text("")
     report = quality.validate_files(spark, [plain_log, jsonl_log, str(empty)])
     totals = report.totals.first()
-    assert (totals["valid_lines"], totals["invalid_lines"], totals["is_valid"]) == (5, 1, False)
+    assert (totals["valid_lines"], totals["invalid_lines"], totals["is_valid"]) == (6, 1, False)
     files = {r["source"].rsplit("/", 1)[1]: r for r in report.files.collect()}
     assert (files["empty.log"]["valid_lines"], files["empty.log"]["format"]) == (0, "plain")
-    assert [r["preview"] for r in report.issue_samples.collect()] == ["broken line"]
+    assert [r["preview"] for r in report.issue_samples.collect()] == ["### rotated ###"]
     gates = quality.validation_gates(report.files)
     assert gates.where("not passed").count() == 1
     with pytest.raises(RuntimeError, match="1 invalid lines"):
@@ -257,11 +257,26 @@ def test_redact(spark, tmp_path, plain_log):
         "to [REDACTED_EMAIL]", "from [REDACTED_IP]", "", "plain"]
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         redact_file(spark, str(source), target)
-    assert redact_file(spark, plain_log, target, overwrite=True) == 4
+    assert redact_file(spark, plain_log, target, overwrite=True) == 5
     with pytest.raises(ValueError):
         redact_file(spark, plain_log, plain_log)
 
 
+def test_redact_keeps_its_source(spark, tmp_path):
+    """Other spellings of the source, its parents and what lies in it are refused."""
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    source = folder / "a.log"
+    source.write_text("to jane@example.test\n")
+    names = [f"file://{source}", f"{folder}/../logs/a.log", str(folder), str(tmp_path)]
+    for name in names:
+        with pytest.raises(ValueError, match="must be different"):
+            redact_file(spark, str(source), name, overwrite=True)
+    with pytest.raises(ValueError, match="must be different"):
+        redact_file(spark, str(folder), str(folder / "out"), overwrite=True)
+    assert source.read_text() == "to jane@example.test\n"
+
+
 @pytest.mark.parametrize("log_format, packed", [("plain", True), ("jsonl", False), ("csv", True)])
 def test_demo_round_trip(spark, tmp_path, log_format, packed):
     folder = generate_demo(spark, str(tmp_path / "demo"), 300, log_format, 7, packed)
@@ -281,4 +296,4 @@ def test_report_tables_are_written(spark, tmp_path, plain_log):
     target = str(tmp_path / "report")
     write_report(analyze_files(spark, plain_log), target)
     (line,) = spark.read.text(f"{target}/summary").collect()
-    assert json.loads(line["value"])["parsed_lines"] == 3
+    assert json.loads(line["value"])["parsed_lines"] == 4
