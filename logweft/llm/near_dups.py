@@ -8,13 +8,14 @@ common token lies within the first ``COORDINATES - MATCHES + 1`` tokens of both,
 that prefix is posted, and tokens that a document has alone drop out of it. Candidates
 that survive the count of all agreeing coordinates are confirmed on the full sets.
 
-No list emits all its pairs. In a few rounds each posting list compares its documents
-with one pivot, and each document takes the best of its pivots: first one whose tokens are the most common, then such a one outside
-the largest component. Components grow. Pairs inside a component need no comparison,
-so a group of near copies costs about as many comparisons as it has documents. What is
-left are documents of different components in one list. Shingles that only one of all
-these documents has bound what it can share with any other; documents and pairs beyond
-the bound go without a comparison, all others are compared.
+No list emits all its pairs. Before the join, a few rounds link documents that agree in
+whole bands of coordinates: such documents have one pivot among them, and each document is
+compared with the one of its pivots that is the most like it. Components grow. Pairs
+inside a component need no comparison, so a group of near copies costs about as many
+comparisons as it has documents. What is left for the join are documents of different
+components in one list. Shingles that only one of all these documents has bound what it
+can share with any other, and bitmaps of the sets bound how far two of them differ;
+documents and pairs beyond a bound go without a comparison, all others are compared.
 
 A pair at the limit of 0.75 agrees in 24 of 32 coordinates on average; it is missed if
 fewer than 12 agree: probability 6e-6, and only if no third document links the two.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import BASE, mix, prefix_hashes, span_hashes
@@ -44,9 +45,11 @@ from .registry import query
 SHINGLE = 5
 COORDINATES = 32
 MATCHES = 12
-#: Pivot rounds at most; they end early when this many pairs for each posting are left.
-ROUNDS = 4
-PAIRS_PER_POSTING = 0.1
+#: Coordinates of a band in each of the rounds before the join; they divide the coordinates
+#: or leave a rest that bands do not use.
+BAND_WIDTHS = (8, 4, 2)
+#: 64-bit words of the bitmap of a shingle set.
+BITMAP_WORDS = 16
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * BASE)
 
 
@@ -66,13 +69,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return mix(lows + _SEEDS).view(np.int64)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each shingle, as longs; shingles may share a bit."""
+    bits = np.zeros(64 * BITMAP_WORDS, bool)
+    bits[mix(shingles) % np.uint64(len(bits))] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= 75 * (len(a) + len(b) - common)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``_doc``, ``n_shingles``, ``print`` (128-bit hash of the set) and ``tokens``."""
+    """``_doc``, ``n_shingles``, ``print`` (128-bit hash of the set), ``tokens`` and ``bits``."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -81,16 +91,17 @@ def signatures(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64())]
             columns.append(pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()))
             columns.append(pa.array(tokens, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, [DOC, "n_shingles", "print", "tokens"])
+            columns.append(pa.array([bitmap(x).tolist() if len(x) else None for x in sets], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, [DOC, "n_shingles", "print", "tokens", "bits"])
 
     return docs.select(DOC, "text").mapInArrow(
-        sign, f"{DOC} long, n_shingles long, print binary, tokens array<long>"
+        sign, f"{DOC} long, n_shingles long, print binary, tokens array<long>, bits array<long>"
     )
 
 
 def postings(signed: DataFrame) -> DataFrame:
-    """``token``, ``_doc`` and ``score`` for the prefix of each document that can have a
-    partner. The score is high for documents whose tokens many others have."""
+    """``token``, ``_doc`` and ``before`` for the prefix of each document that can have a
+    partner: the tokens of the prefix that come before this one in the common order."""
     rows = signed.select(DOC, F.explode("tokens").alias("token"))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     ranked = rows.join(shared, "token").groupBy(DOC).agg(
@@ -99,10 +110,10 @@ def postings(signed: DataFrame) -> DataFrame:
     # The tokens that a document has alone come first in its order and take their part
     # of the prefix.
     prefix = F.size("own") - F.lit(MATCHES - 1)
-    score = F.aggregate("own", F.lit(0).cast("long"), lambda total, x: total + x["n"])
-    return ranked.filter(prefix > 0).select(
-        DOC, score.alias("score"), F.explode(F.slice("own", F.lit(1), prefix)).alias("t")
-    ).select(F.col("t.token").alias("token"), DOC, "score")
+    own = F.slice(F.transform("own", lambda x: x["token"]), F.lit(1), prefix)
+    return ranked.filter(prefix > 0).select(DOC, own.alias("own")).select(
+        DOC, "own", F.posexplode("own").alias("place", "token")
+    ).select("token", DOC, F.slice("own", F.lit(1), F.col("place")).alias("before"))
 
 
 def shareable(texts: DataFrame) -> DataFrame:
@@ -123,40 +134,98 @@ def shareable(texts: DataFrame) -> DataFrame:
     return sizes.join(lost, DOC, "left").select(DOC, "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
 
 
-def remaining_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of documents of different components in one list that can be similar.
+def agreeing() -> Column:
+    """Coordinates in which the signatures ``ta`` and ``tb`` agree."""
+    return F.size(F.filter(F.zip_with("ta", "tb", lambda x, y: x == y), lambda same: same))
+
+
+def possible() -> Column:
+    """Whether sets of ``na`` and ``nb`` shingles with the bitmaps ``va`` and ``vb`` can be
+    similar: a bit that only one has is a shingle that only one has, and similar sets
+    differ in at most a seventh of the sum of their sizes. Never false for similar sets."""
+    differ = F.lit(0)
+    for i in range(BITMAP_WORDS):
+        differ += F.bit_count(F.get("va", F.lit(i)).bitwiseXOR(F.get("vb", F.lit(i))))
+    return 7 * differ <= F.col("na") + F.col("nb")
+
+
+def side(signed: DataFrame, x: str) -> DataFrame:
+    """What ``possible`` and ``agreeing`` need of a side (``a`` or ``b``) of pairs."""
+    return signed.select(
+        F.col(DOC).alias(x), F.col("tokens").alias(f"t{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("bits").alias(f"v{x}")
+    )
+
+
+def band_pairs(placed: DataFrame, width: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of documents with the one of their pivots that is the most like
+    them. Documents that agree in all coordinates of a band make a list, with one pivot.
+
+    ``placed`` has ``_doc``, ``n_shingles``, ``tokens`` and ``label``.
+    """
+    bands = [[(first + k * (COORDINATES // width)) % COORDINATES for k in range(width)] for first in range(COORDINATES // width)]
+    keys = F.array(*(F.xxhash64(F.lit(width), *(F.get("tokens", F.lit(c)) for c in band)) for band in bands))
+    rows = placed.select(DOC, "label", F.explode(keys).alias("key"))
+    pivot = F.struct(F.xxhash64(DOC, F.lit(width)), DOC, "label")
+    pivots = rows.groupBy("key").agg(
+        F.max(pivot).alias("pivot"), F.min("label").alias("least"), F.max("label").alias("most")
+    ).filter("least < most").select("key", "pivot")
+    met = rows.join(pivots, "key").filter(F.col("label") != F.col("pivot.label")).select(
+        F.col(DOC).alias("a"), F.col(f"pivot.{DOC}").alias("b")
+    ).distinct()
+    close = met.join(side(placed, "a"), "a").join(side(placed, "b"), "b").filter(possible())
+    best = close.groupBy("a").agg(F.max(F.struct(agreeing().alias("agree"), "b")).alias("best"))
+    return best.filter(F.col("best.agree") >= MATCHES).select("a", "best.b")
+
+
+def remaining_pairs(listed: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of documents of different components that can be similar, each one once.
 
     Similar sets share at least 75 / 175 of the sum of their sizes, and no more than
-    either shares with any document at all.
+    either shares with any document at all. A pair meets in every list of a common token;
+    it is taken where that token is the first one common to both, and there the agreeing
+    coordinates are counted.
     """
-    open_ = placed.select(DOC).distinct()
+    labelled = listed.join(placed.select(DOC, "label"), DOC)
+    parts = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    lists = parts.groupBy("token").agg(
+        F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts")
+    ).filter("parts > 1").select("token", F.col("main.label").alias("main"))
+    rows = materialize(labelled.join(lists, "token"), "lists")
+    open_ = rows.select(DOC).distinct()
     bounds = materialize(shareable(texts.join(open_, DOC, "left_semi")), "bounds")
-    rows = placed.join(bounds, DOC)
+    rows = rows.join(bounds, DOC)
     ends = rows.groupBy("token").agg(F.min("n").alias("least_n"), F.max("s").alias("most_s"))
     able = 175 * F.least("s", "most_s") >= 75 * (F.col("n") + F.col("least_n"))
-    rows = materialize(rows.join(ends, "token").filter(able).select("token", DOC, "label", "main", "n", "s"), "open")
+    rows = materialize(
+        rows.join(ends, "token").filter(able).join(placed.select(DOC, "tokens", "bits"), DOC)
+        .select("token", DOC, "label", "main", "n", "s", "before", "tokens", "bits"), "open"
+    )
     # Every pair of different components has a side outside the largest one.
     minor = rows.filter(F.col("label") != F.col("main")).select(
-        "token", F.col(DOC).alias("a"), F.col("label").alias("la"), "main", F.col("n").alias("na"), F.col("s").alias("sa")
+        "token", F.col(DOC).alias("a"), F.col("label").alias("la"), "main", F.col("n").alias("na"),
+        F.col("s").alias("sa"), F.col("before").alias("fa"), F.col("tokens").alias("ta"), F.col("bits").alias("va"),
+    )
+    other = rows.select(
+        "token", F.col(DOC).alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"),
+        F.col("s").alias("sb"), F.col("before").alias("fb"), F.col("tokens").alias("tb"), F.col("bits").alias("vb"),
     )
-    other = rows.select("token", F.col(DOC).alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
     return minor.join(
         other,
         (minor["token"] == other["token"])
         & (F.col("la") != F.col("lb"))
         & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (175 * F.least("sa", "sb") >= 75 * (F.col("na") + F.col("nb"))),
+        & (175 * F.least("sa", "sb") >= 75 * (F.col("na") + F.col("nb")))
+        & possible()
+        & ~F.arrays_overlap("fa", "fb")
+        & (agreeing() >= MATCHES),
     ).select("a", "b")
 
 
 def confirm(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) whose signatures agree often enough and whose sets are similar."""
-    agree = F.size(F.filter(F.zip_with("ta", "tb", lambda x, y: x == y), lambda same: same))
-    by_a = signed.select(F.col(DOC).alias("a"), F.col("tokens").alias("ta"), F.col("n_shingles").alias("na"))
-    by_b = signed.select(F.col(DOC).alias("b"), F.col("tokens").alias("tb"), F.col("n_shingles").alias("nb"))
-    # Sets of too different sizes cannot be similar enough.
-    sizes = (100 * F.least("na", "nb")) >= (75 * F.greatest("na", "nb"))
-    close = pairs.join(by_a, "a").join(by_b, "b").filter(sizes & (agree >= MATCHES)).select("a", "b")
+    close = pairs.join(side(signed, "a"), "a").join(side(signed, "b"), "b").filter(
+        possible() & (agreeing() >= MATCHES)
+    ).select("a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, None
@@ -198,46 +267,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     listed = materialize(postings(single), "postings")
     posted = listed.select(DOC).distinct()
     texts = materialize(docs.select(DOC, "text").join(posted, DOC, "left_semi"), "candidates")
-    known = materialize(signed.select(DOC, "n_shingles", "tokens").join(posted, DOC, "left_semi"), "candidate-signatures")
-    n_postings = listed.count()
-    labels, edges = None, None
-    for number in range(ROUNDS + 1):
-        placed = listed
-        if labels is not None:
-            placed = placed.join(labels.withColumnRenamed("node", DOC), DOC, "left")
-        placed = placed.withColumn("label", F.coalesce("label", DOC) if labels is not None else F.col(DOC))
-        parts = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-        lists = parts.groupBy("token").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inner"),
-            F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"),
-        ).filter("parts > 1")
-        lists = materialize(lists, "lists")
-        left = lists.agg(F.sum((F.col("n") * F.col("n") - F.col("inner")) / 2)).first()[0] or 0
-        if not left:
-            break
-        placed = placed.join(lists.select("token", F.col("main.label").alias("main")), "token")
-        last = left <= PAIRS_PER_POSTING * n_postings or number == ROUNDS
-        if last:
-            pairs = remaining_pairs(placed, texts)
-        else:
-            # The most central document; later on, the most central one outside the
-            # largest component.
-            choice = F.struct("score", DOC, "label")
-            outside = F.when(F.col("label") != F.col("main"), choice) if number else choice
-            pivots = placed.groupBy("token").agg(F.max(outside).alias("pivot"))
-            met = placed.join(pivots, "token").filter(F.col("label") != F.col("pivot.label"))
-            # One comparison for each document in a round: with the best of its pivots.
-            pairs = met.groupBy(DOC).agg(F.max("pivot").alias("pivot")).select(
-                F.col(DOC).alias("a"), F.col(f"pivot.{DOC}").alias("b")
-            )
+    known = materialize(signed.select(DOC, "n_shingles", "tokens", "bits").join(posted, DOC, "left_semi"), "candidate-signatures")
+    labels = None
+
+    def placed() -> DataFrame:
+        if labels is None:
+            return known.withColumn("label", F.col(DOC))
+        own = known.join(labels.withColumnRenamed("node", DOC), DOC, "left")
+        return own.withColumn("label", F.coalesce("label", DOC))
+
+    for width in (*BAND_WIDTHS, None):
+        pairs = band_pairs(placed(), width) if width else remaining_pairs(listed, placed(), texts)
         pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
         found = materialize(confirm(pairs, known, texts), "links")
-        stars = found if labels is None else found.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(stars)
-        if last:
-            break
-    if labels is None:
-        return members.select(DOC, "n_shingles", F.col("rep").alias("label"))
+        labels = components(found if labels is None else found.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         DOC, "n_shingles", F.coalesce("label", "rep").alias("label")
     )

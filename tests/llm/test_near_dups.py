@@ -63,9 +63,9 @@ def test_query(spark):
     assert got == want and not all(row[3] for row in want)
 
 
-@pytest.mark.parametrize(("rows", "per_posting"), [(made(1), 1000), (made(2), 0), ([], 2)])
-def test_cases(spark, rows, per_posting, monkeypatch):
-    monkeypatch.setattr(near_dups, "PAIRS_PER_POSTING", per_posting)
+@pytest.mark.parametrize(("rows", "widths"), [(made(1), ()), (made(2), near_dups.BAND_WIDTHS), ([], (4,))])
+def test_cases(spark, rows, widths, monkeypatch):
+    monkeypatch.setattr(near_dups, "BAND_WIDTHS", widths)
     docs = identified(brute.frame(spark, rows).drop("_doc").selectExpr("doc_id", "coalesce(text, '') AS text"))
     got = near_dups.with_ids(docs, near_dups.near_duplicates(docs))
     assert brute.collected(got, *COLUMNS) == plain(rows)
