@@ -50,6 +50,8 @@ MATCHES = 12
 BAND_WIDTHS = (8, 4, 2)
 #: 64-bit words of the bitmap of a shingle set.
 BITMAP_WORDS = 16
+#: Shingles that all coordinates hash in one go.
+SIGNED_AT_ONCE = 2048
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * BASE)
 
 
@@ -65,7 +67,10 @@ def shingle_set(text: bytes) -> np.ndarray:
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """One token for each coordinate and its value."""
-    lows = np.array([mix(shingles ^ seed).min() for seed in _SEEDS], np.uint64)
+    lows = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(shingles), SIGNED_AT_ONCE):
+        part = shingles[start : start + SIGNED_AT_ONCE]
+        lows = np.minimum(lows, mix(part[None, :] ^ _SEEDS[:, None]).min(axis=1))
     return mix(lows + _SEEDS).view(np.int64)
 
 
