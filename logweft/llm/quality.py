@@ -12,8 +12,10 @@ Quantiles come from counts of fine bins, combined on the map side, so a group th
 a third of all rows is never gathered. Spreads have a floor (``FLOORS``): most clean
 texts have no symbol and no repeat at all, and a single one is no outlier.
 
-Groups with fewer than ``LEAST_ROWS`` rows are not estimated; only the base rules hold
-there. A language or source that is null is a group of its own.
+Every row that passes the base rules is judged. A group with fewer than ``LEAST_ROWS`` rows
+has too little to estimate from: its rows are judged by the estimate over all rows of the
+language, and those of a language with too few rows by the estimate over all rows, however
+few these are. A language or source that is null is a group of its own.
 
 Cases: null and empty texts have no words and fail the base rules; repeated rows and rows
 without ID are rows like others (see ``common.identified``); an empty table gives no row;
@@ -49,7 +51,9 @@ FLOORS = (0.5, 0.15, 0.06, 0.5, 0.2)
 LIMIT = 25.0
 #: A core of 75 % underestimates the variance of five normal statistics by this factor.
 CONSISTENCY = 1.46
-GROUP = ("g_lang", "g_source")
+OWN = ("g_lang", "g_source")
+#: What an estimate is made over: a language and source, a language (1) or all rows (2).
+GROUP = ("g_level", *OWN)
 
 
 def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -175,10 +179,45 @@ def _estimate(rows: DataFrame) -> DataFrame:
     return materialize(out.select(*GROUP, *(f"m_{i}" for i in range(n)), *factors), "estimates")
 
 
+def _at_level(level: Column) -> list[Column]:
+    """The key of ``GROUP`` at a level, from the language and source of a row."""
+    return [
+        level.alias("g_level"),
+        F.when(level < 2, F.col("g_lang")).otherwise("").alias("g_lang"),
+        F.when(level < 1, F.col("g_source")).otherwise("").alias("g_source"),
+    ]
+
+
+def _levels(rows: DataFrame) -> DataFrame:
+    """For each language and source the ``level`` that judges its rows, and those that its
+    rows ``feed``: a level is estimated only if it judges any row, but then over all its rows."""
+    sizes = materialize(rows.groupBy(*OWN).agg(F.count(F.lit(1)).alias("rows")), "groups")
+    langs = materialize(
+        sizes.groupBy("g_lang").agg(F.sum("rows").alias("lang_rows"), F.min("rows").alias("least_rows")), "languages"
+    )
+    short = bool(langs.filter(F.col("lang_rows") < LEAST_ROWS).limit(1).collect())
+    large, enough = F.col("rows") >= LEAST_ROWS, F.col("lang_rows") >= LEAST_ROWS
+    feeds = F.array(
+        F.when(large, F.lit(0)),
+        F.when(enough & (F.col("least_rows") < LEAST_ROWS), F.lit(1)),
+        F.lit(2 if short else None).cast("int"),
+    )
+    return materialize(
+        lookup_join(sizes, langs, ["g_lang"], F.col("g_source")).select(
+            *OWN,
+            F.when(large, 0).when(enough, 1).otherwise(2).alias("level"),
+            F.filter(feeds, lambda x: x.isNotNull()).alias("feeds"),
+        ),
+        "levels",
+    )
+
+
 def outliers(rows: DataFrame) -> DataFrame:
-    """``_doc`` and ``distance`` of the rows of all groups that are large enough."""
-    sizes = materialize(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= LEAST_ROWS), "groups")
-    rows = _with(rows, sizes).filter("rows IS NOT NULL").drop("rows")
+    """``_doc`` and ``distance`` of all rows."""
+    leveled = lookup_join(rows, _levels(rows), list(OWN), F.col(DOC))
+    judged = leveled.select(DOC, *_at_level(F.col("level")), *STATISTICS)
+    rows = leveled.select(DOC, *OWN, *STATISTICS, F.explode("feeds").alias("level"))
+    rows = rows.select(DOC, *_at_level(F.col("level")), *STATISTICS)
     n = range(len(STATISTICS))
     medians = materialize(_spread_out(_quantile(_by_statistic(rows, [F.col(s) for s in STATISTICS]), [*GROUP, "k"], 0.5), "m"), "medians")
     apart = [F.abs(F.col(s) - F.col(f"m_{k}")) for k, s in enumerate(STATISTICS)]
@@ -200,7 +239,7 @@ def outliers(rows: DataFrame) -> DataFrame:
         edge = _quantile(measured.withColumn("bin", F.floor(F.col("d") * BINS)), list(GROUP), CORE)
         core = _with(measured, materialize(edge, "edges-of-core")).filter(F.col("d") < F.col("value"))
         estimate = _estimate(core)
-    return _with(rows, estimate).select(DOC, _distance().alias("distance"))
+    return _with(judged, estimate).select(DOC, _distance().alias("distance"))
 
 
 def quality(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -215,10 +254,10 @@ def quality(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
         F.coalesce(F.col("lang").cast("string"), F.lit(missing)).alias("g_lang"),
         F.coalesce(F.col("source").cast("string"), F.lit(missing)).alias("g_source"),
     )
-    measured = text_statistics(ready, [DOC, *GROUP]).withColumn("base_failed", base_failed())
+    measured = text_statistics(ready, [DOC, *OWN]).withColumn("base_failed", base_failed())
     rows = materialize(measured.select("*", *transformed()), "statistics")
     # Rows that fail the base rules would only blur the estimates.
-    far = outliers(rows.filter(~F.col("base_failed")).select(DOC, *GROUP, *STATISTICS))
+    far = outliers(rows.filter(~F.col("base_failed")).select(DOC, *OWN, *STATISTICS))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)
     return rows.join(far, DOC, "left").withColumn("kept", kept)
 

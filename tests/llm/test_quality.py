@@ -97,3 +97,21 @@ def test_outliers(spark, monkeypatch):
 def test_native_plan(spark):
     plan = QUERIES["op9_quality_rules"](spark, brute.SF_DIR)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+
+
+@pytest.mark.parametrize("n_clean", [60, 300, 900])
+def test_small_groups_are_judged(spark, n_clean, monkeypatch):
+    """Junk in sources and languages of a few rows goes, whatever the size of the table."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(int(rng.lognormvariate(5, 0.6)) + 20))
+    junk = " ".join(f"{'#$%|&' * 6}{i}" for i in range(200))
+    rows = [(i, text(), "en", ("hot", "b", "c")[i % 3]) for i in range(n_clean)]
+    small = [("en", "tiny"), ("en", None), ("xx", "tiny"), (None, None)]
+    rows += [(1000 + 10 * k + i, text(), *key) for k, key in enumerate(small) for i in range(3)]
+    rows += [(2000 + k, junk, *key) for k, key in enumerate(small)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    monkeypatch.setattr(quality, "documents", lambda *_: frame)
+    got = {r["doc_id"]: r for r in QUERIES["op9_quality_rules"](spark, "").collect()}
+    assert len(got) == len(rows) and all(r["distance"] is not None for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {2000 + k for k in range(len(small))}
