@@ -154,12 +154,18 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def payloads(text: bytes, rows: np.ndarray) -> list[bytes]:
-    """A hash of every window of each record; with the key it makes 128 bits."""
+def window_hashes(text: bytes, rows: np.ndarray) -> np.ndarray:
+    """A hash of every window of each record."""
     names = word_hashes(text)
     behind = np.cumsum(rows["n"])
     start = np.arange(behind[-1]) - np.repeat(behind - rows["n"] - rows["first"], rows["n"])
-    hashes = span_hashes(prefix_hashes(mix(names ^ _SALT)), start, start + WIDTH).tobytes()
+    return span_hashes(prefix_hashes(mix(names ^ _SALT)), start, start + WIDTH)
+
+
+def payloads(text: bytes, rows: np.ndarray) -> list[bytes]:
+    """The hashes of the windows of each record; with the key they make 128 bits."""
+    behind = np.cumsum(rows["n"])
+    hashes = window_hashes(text, rows).tobytes()
     return [hashes[8 * (b - n) : 8 * b] for b, n in zip(behind.tolist(), rows["n"].tolist(), strict=True)]
 
 
@@ -176,7 +182,7 @@ def resolve(rows: np.ndarray, hashes: list[bytes]) -> tuple[np.ndarray, np.ndarr
     return record[chosen], window[chosen]
 
 
-WORD_WINDOWS = Windows(WIDTH, anchors, payloads, resolve)
+WORD_WINDOWS = Windows(WIDTH, anchors, payloads, resolve, window_hashes)
 
 
 def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

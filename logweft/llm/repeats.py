@@ -15,6 +15,12 @@ windows have equal keys, so:
 
 Records travel as packed columns, bucketed by key. No step needs more memory than one
 bucket, and the number of buckets follows the session's shuffle partitions.
+
+A wide key, one with more than ``limit`` symbols under it, is not gathered. Its records are
+dealt by group in step 1, and in step 2 cut into single windows, whose key is a hash of the
+old one and of all symbols of the window: equal windows still meet, others spread over all
+tasks. Each task sends only the first of its equal windows. A sample tells which keys are wide before anything is dealt, exact sums tell it of
+all others in step 1. That only decides where work is done, never what is covered.
 """
 
 from __future__ import annotations
@@ -28,11 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import MIX_1, mix
 from .common import DOC, materialize, partitions, slices
 
 RECORD = np.dtype([("key", "<u8"), ("group", "<u8"), ("doc", "<i8"), ("first", "<i8"), ("n", "<i4"), ("off", "<i4")])
 BUCKETS_PER_TASK = 8
-ROWS = f"{DOC} long, start long, n int, off int, key long"
+ROWS = f"{DOC} long, start long, n int, off int, key long, wide boolean"
+#: Documents, and characters of each, in which wide keys are looked for, and the least groups there.
+SAMPLE = 4000
+SAMPLE_TEXT = 1 << 16
+SAMPLE_GROUPS = 8
 
 
 class Windows(NamedTuple):
@@ -45,6 +56,10 @@ class Windows(NamedTuple):
     payloads: Callable[[bytes, np.ndarray], list[bytes]]
     #: Records of whole keys with their payloads to (record, window) pairs that occur earlier.
     resolve: Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray]]
+    #: Text and requested records to one hash for every window of each.
+    hashes: Callable[[bytes, np.ndarray], np.ndarray] | None = None
+    #: Symbols under one key that one task compares; without ``hashes`` all of them.
+    limit: int = 1 << 21
 
 
 def _pack(rows: np.ndarray) -> bytes:
@@ -96,8 +111,9 @@ def _spans(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordB
             pa.array(ends - starts, pa.int32()),
             pa.nulls(len(docs), pa.int32()),
             pa.nulls(len(docs), pa.int64()),
+            pa.nulls(len(docs), pa.bool_()),
         ],
-        [DOC, "start", "n", "off", "key"],
+        [DOC, "start", "n", "off", "key", "wide"],
     )
 
 
@@ -115,6 +131,58 @@ def _buckets(batches: Iterator[pa.RecordBatch], column: str = "bucket") -> Itera
         yield held, rows
 
 
+def _single(text: bytes, rows: np.ndarray, windows: Windows) -> np.ndarray:
+    """Each window of the records as a record of its own, with a key of its content."""
+    out = np.repeat(rows, rows["n"])
+    inside = np.arange(len(out)) - np.repeat(np.cumsum(rows["n"]) - rows["n"], rows["n"])
+    out["key"] = mix(out["key"] * MIX_1 + windows.hashes(text, rows))
+    out["first"] += inside
+    out["off"] -= inside.astype(np.int32)
+    out["n"] = 1
+    return out
+
+
+def _again(rows: np.ndarray, payloads: list[bytes], alone: np.ndarray) -> np.ndarray:
+    """Single windows (``alone``) that equal an earlier one among the rows."""
+    again = np.zeros(len(rows), bool)
+    at = np.flatnonzero(alone)
+    at = at[np.lexsort((rows["first"][at], rows["doc"][at], rows["key"][at]))]
+    begins = np.ones(len(at), bool)
+    begins[1:] = rows["key"][at][1:] != rows["key"][at][:-1]
+    first = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+    for k in np.flatnonzero(~begins).tolist():
+        again[at[k]] = payloads[at[k]] == payloads[at[first[k]]]
+    return again
+
+
+def symbols_of(rows: np.ndarray, width: int) -> np.ndarray:
+    """Symbols that each record covers, and one that ends it."""
+    return rows["n"].astype(np.int64) + width
+
+
+def wide_keys(docs: DataFrame, windows: Windows) -> np.ndarray:
+    """Keys that are wide as far as a sample of the documents tells, in order."""
+    if windows.hashes is None:
+        return np.zeros(0, np.uint64)
+    total = docs.count()
+    # Every document of a small table; otherwise about ``SAMPLE`` of them.
+    step = max(1, total // SAMPLE)
+    chosen = docs.filter(F.pmod(F.xxhash64(DOC), F.lit(step)) == 0)
+    chosen = chosen.select(DOC, F.substring("text", 1, SAMPLE_TEXT).alias("text"))
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                key, group, _, n, _ = windows.anchors(text)
+                columns = [pa.array(key.view(np.int64)), pa.array(group.view(np.int64)), pa.array(n + windows.width, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "group", "symbols"])
+
+    groups = chosen.mapInArrow(seen, "key long, group long, symbols long").groupBy("key", "group").agg(F.max("symbols").alias("symbols"))
+    keys = groups.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.sum("symbols").alias("symbols"))
+    wide = keys.filter((F.col("groups") >= SAMPLE_GROUPS) & (F.col("symbols") * step > windows.limit)).select("key").collect()
+    return np.sort(np.array([row["key"] for row in wide], np.int64).view(np.uint64))
+
+
 def covered(docs: DataFrame, windows: Windows) -> DataFrame:
     """``_doc`` and ``spans``: what of each document is covered, in symbols.
 
@@ -124,6 +192,7 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
     # Several buckets for each task: their hashes spread more evenly than the tasks' own.
     n_buckets = BUCKETS_PER_TASK * partitions(spark)
     width = windows.width
+    wide = wide_keys(docs, windows)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
@@ -137,7 +206,8 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
                 parts.append(own)
             rows, begins = first_of_groups(np.concatenate(parts))
             sent, copies = rows[begins], rows[~begins]
-            bucket = sent["key"] % np.uint64(n_buckets)
+            dealt = np.where(np.isin(sent["key"], wide), mix(sent["key"] ^ mix(sent["group"])), sent["key"])
+            bucket = dealt % np.uint64(n_buckets)
             order = np.lexsort((sent["first"], sent["doc"], bucket))
             sent, bucket = sent[order], bucket[order]
             numbers, at = np.unique(bucket, return_index=True)
@@ -145,7 +215,7 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
             out = [(int(k), 0, blob) for k, blob in zip(numbers, blobs, strict=True)]
             if len(copies):
                 # Already known to be covered; any bucket may carry them.
-                out.append((int(copies["key"][0] % np.uint64(n_buckets)), 1, _pack(copies)))
+                out.append((int(mix(copies["doc"][:1].astype(np.uint64))[0] % np.uint64(n_buckets)), 1, _pack(copies)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))]
                 if out
@@ -163,16 +233,23 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
             yield _spans(gone["doc"], gone["first"], gone["first"] + gone["n"] - 1 + width)
             groups = rows[begins]
             _, where, counts = np.unique(groups["key"], return_inverse=True, return_counts=True)
-            open_ = groups[counts[where] > 1]
+            sums = np.bincount(where, symbols_of(groups, width), len(counts))
+            known = np.isin(groups["key"], wide)
+            # Groups of a key known as wide are elsewhere, too.
+            chosen = (counts[where] > 1) | known
+            open_, split = groups[chosen], known[chosen]
+            if windows.hashes is not None:
+                split = split | (sums[where][chosen] > windows.limit)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(open_["doc"]),
                     pa.array(open_["first"]),
                     pa.array(open_["n"]),
                     pa.array(open_["off"]),
-                    pa.array(open_["key"].view(np.int64)),
+                    pa.array(np.ascontiguousarray(open_["key"]).view(np.int64)),
+                    pa.array(split),
                 ],
-                [DOC, "start", "n", "off", "key"],
+                [DOC, "start", "n", "off", "key", "wide"],
             )
 
     sent = docs.select(DOC, "text").mapInArrow(records, "bucket int, copies int, data binary")
@@ -181,7 +258,7 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            parts, payloads = [], []
+            parts, payloads, alone = [], [], []
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for doc, text, wanted in zip(batch.column(0).to_pylist(), texts, batch.column(2), strict=True):
                 own = np.empty(len(wanted), RECORD)
@@ -189,13 +266,22 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
                 own["doc"], own["group"] = doc, 0
                 own["first"], own["n"] = fields.field("start").to_numpy(), fields.field("n").to_numpy()
                 own["off"], own["key"] = fields.field("off").to_numpy(), fields.field("key").to_numpy().view(np.uint64)
+                split = fields.field("wide").to_numpy(zero_copy_only=False)
+                if split.any():
+                    own = np.concatenate([own[~split], _single(text, own[split], windows)])
+                alone.append(np.arange(len(own)) >= np.count_nonzero(~split))
                 parts.append(own)
                 payloads += windows.payloads(text, own)
             rows = np.concatenate([np.empty(0, RECORD), *parts])
+            known = _again(rows, payloads, np.concatenate([np.empty(0, bool), *alone]))
             bucket = (rows["key"] % np.uint64(n_buckets)).astype(np.int64)
             out = []
-            for k in np.unique(bucket):
-                here = np.flatnonzero(bucket == k)
+            if known.any():
+                # Already known to be covered; any bucket may carry them.
+                spread = mix(rows["doc"][known][:1].astype(np.uint64))[0] % np.uint64(n_buckets)
+                out.append((int(spread), _pack(rows[known]), None, None))
+            for k in np.unique(bucket[~known]):
+                here = np.flatnonzero((bucket == k) & ~known)
                 own = [payloads[i] for i in here]
                 sizes = np.array([len(x) for x in own], "<i4").tobytes()
                 out.append((int(k), _pack(rows[here]), zlib.compress(sizes, 1), zlib.compress(b"".join(own), 1)))
@@ -208,7 +294,14 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in _buckets(batches):
-            rows = np.concatenate([_unpack(row["data"]) for row in blobs])
+            known = [_unpack(row["data"]) for row in blobs if row["sizes"] is None]
+            if known:
+                gone = np.concatenate(known)
+                yield _spans(gone["doc"], gone["first"], gone["first"] + width)
+            blobs = [row for row in blobs if row["sizes"] is not None]
+            rows = np.concatenate([np.empty(0, RECORD), *[_unpack(row["data"]) for row in blobs]])
+            if not len(rows):
+                continue
             payloads: list[bytes] = []
             for row in blobs:
                 at, raw = 0, zlib.decompress(row["payload"])
@@ -220,7 +313,7 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
             yield _spans(rows["doc"][record], starts, starts + width)
 
     open_ = settled.filter(F.col("key").isNotNull()).groupBy(DOC).agg(
-        F.collect_list(F.struct("start", "n", "off", "key")).alias("wanted")
+        F.collect_list(F.struct("start", "n", "off", "key", "wide")).alias("wanted")
     )
     contexts = docs.select(DOC, "text").join(open_, DOC).select(DOC, "text", "wanted")
     payloads = contexts.mapInArrow(cut, "bucket int, data binary, sizes binary, payload binary")

@@ -7,8 +7,9 @@ import re
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
-from logweft.llm import recompression, suffix_dedup, suffix_groups
+from logweft.llm import recompression, repeats, suffix_dedup, suffix_groups
 from logweft.llm.queries import QUERIES
 
 
@@ -119,3 +120,41 @@ def test_equal_windows_choose_equal_symbols():
             k = len(before)
             found.add((int(level[k]), int(symbol[k]), int(start[k]) - k))
         assert len(found) == 1
+
+
+def one_word_everywhere(n: int) -> list[tuple]:
+    """Documents whose windows often share one word and little else; some passages recur."""
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(400)]
+    passages = [[rng.choice(words) for _ in range(24)] for _ in range(5)]
+    rows = []
+    for k in range(n):
+        own = [x for i in range(12) for x in ("common", *rng.sample(words, 6))]
+        rows.append((k, " ".join(own + rng.choice(passages) + ["common", f"own{k}"])))
+    return rows
+
+
+@pytest.mark.parametrize("sample", [1, 4000])
+def test_words_of_wide_keys(spark, sample, monkeypatch):
+    """Windows under one word meet by their content, in many tasks, with the same result."""
+    rows = one_word_everywhere(120) + made(6)
+    limit = 500
+    monkeypatch.setattr(repeats, "SAMPLE", sample)
+
+    def resolve(own, hashes):
+        for key in set(own["key"].tolist()):
+            mine = own[own["key"] == key]
+            # A record of several windows is never of a wide key.
+            if (mine["n"] > 1).any() and repeats.symbols_of(mine, 20).sum() > limit:
+                raise ValueError("a wide key was gathered")
+        return recompression.resolve(own, hashes)
+
+    windows = recompression.WORD_WINDOWS._replace(limit=limit, resolve=resolve)
+    monkeypatch.setattr(recompression, "WORD_WINDOWS", windows)
+    frame = brute.frame(spark, rows)
+    if sample > len(rows):
+        docs = frame.na.fill("").withColumn("_doc", F.monotonically_increasing_id())
+        assert len(repeats.wide_keys(docs, windows))
+    got = recompression.remove_repeated_words(frame)
+    got = got.selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
+    assert brute.collected(got, *WORDS) == plain_words(rows)
