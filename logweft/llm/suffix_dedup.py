@@ -27,7 +27,12 @@ from .registry import query
 from .repeats import Windows, covered, keep_mask, n_runs
 
 BYTE_WINDOWS = Windows(
-    suffix_groups.WIDTH, suffix_groups.anchors, suffix_groups.payloads, suffix_groups.resolve
+    suffix_groups.WIDTH,
+    suffix_groups.anchors,
+    suffix_groups.payloads,
+    suffix_groups.resolve,
+    suffix_groups.window_hashes,
+    suffix_groups.TEXT,
 )
 
 

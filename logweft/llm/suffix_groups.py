@@ -16,7 +16,8 @@ from .anchors import BASE, BLOCK, mix, prefix_hashes, powers, runs_of_minimum, s
 
 WIDTH = 100
 ANCHOR = 32
-#: Symbols of one suffix array; only a key with more than that has a larger one.
+#: Symbols of one suffix array; a key with more than that is split by the content of its
+#: windows (``repeats``).
 TEXT = 1 << 17
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
 _NOTHING = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
@@ -143,6 +144,16 @@ def payloads(text: bytes, rows: np.ndarray) -> list[bytes]:
     return [text[a:b] for a, b in zip(rows["first"].tolist(), ends.tolist(), strict=True)]
 
 
+def window_hashes(text: bytes, rows: np.ndarray) -> np.ndarray:
+    """A hash of every window of each record."""
+    out = []
+    for first, n in zip(rows["first"].tolist(), rows["n"].tolist(), strict=True):
+        prefix = prefix_hashes(_BYTES[np.frombuffer(text, np.uint8, n - 1 + WIDTH, first)])
+        start = np.arange(n)
+        out.append(span_hashes(prefix, start, start + WIDTH))
+    return np.concatenate(out)
+
+
 def earlier_windows(rows: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Windows of ``strings`` that also start earlier, by one suffix array over them all."""
     sizes = np.array([len(x) + 1 for x in strings])
@@ -176,6 +187,12 @@ def resolve(rows: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndar
     """Texts of whole keys, each with its own suffix array."""
     order = np.argsort(rows["key"], kind="stable")
     keys = rows["key"][order]
+    # A window by itself under its key equals no other.
+    new = np.concatenate(([True], keys[1:] != keys[:-1], [True]))
+    order = order[~(new[:-1] & new[1:] & (rows["n"][order] == 1))]
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys = rows["key"][order]
     bounds = np.concatenate((np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), [len(order)]))
     records, windows, at = [], [], 0
     while at < len(bounds) - 1:
@@ -188,6 +205,4 @@ def resolve(rows: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndar
         records.append(own[record])
         windows.append(window)
         at = stop
-    if not records:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(records), np.concatenate(windows)

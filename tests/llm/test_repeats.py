@@ -158,3 +158,32 @@ def test_words_of_wide_keys(spark, sample, monkeypatch):
     got = recompression.remove_repeated_words(frame)
     got = got.selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
     assert brute.collected(got, *WORDS) == plain_words(rows)
+
+
+@pytest.mark.parametrize("sample", [1, 4000])
+def test_bytes_of_wide_keys(spark, sample, monkeypatch):
+    """A footer between different texts makes no suffix array over all of them."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnop"
+    shared = ["".join(rng.choice(letters) for _ in range(150)) for _ in range(4)]
+    footer = "".join(rng.choice(letters) for _ in range(60))
+    rows = []
+    for k in range(150):
+        own = ["".join(rng.choice(letters) for _ in range(120)) for _ in range(2)]
+        rows.append((k, own[0] + footer + own[1] + (rng.choice(shared) + footer + rng.choice(shared) if k % 3 else "")))
+    rows += made(8)
+    limit = 4000
+    monkeypatch.setattr(repeats, "SAMPLE", sample)
+
+    def resolve(own, strings):
+        for key in set(own["key"].tolist()):
+            mine = own[own["key"] == key]
+            if (mine["n"] > 1).any() and repeats.symbols_of(mine, 100).sum() > limit:
+                raise ValueError("a wide key was gathered")
+        return suffix_groups.resolve(own, strings)
+
+    windows = suffix_dedup.BYTE_WINDOWS._replace(limit=limit, resolve=resolve)
+    monkeypatch.setattr(suffix_dedup, "BYTE_WINDOWS", windows)
+    got = suffix_dedup.remove_repeated_bytes(brute.frame(spark, rows))
+    got = got.selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) AS kept_sha256")
+    assert brute.collected(got, *BYTES) == plain_bytes(rows)
