@@ -9,6 +9,7 @@ from . import (
     quality,
     recompression,
     secrets,
+    simhash,
     suffix_dedup,
     token_files,
 )
@@ -25,6 +26,7 @@ __all__ = [
     "quality",
     "recompression",
     "secrets",
+    "simhash",
     "suffix_dedup",
     "token_files",
 ]
