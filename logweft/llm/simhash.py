@@ -14,9 +14,9 @@ embeddings are within the distance (the lower bound) and then the fingerprints (
 
 Only distinct fingerprints take part, each for its smallest document. No cell emits all its
 pairs: first every fingerprint of a shared cell is compared with one pivot of the cell, and
-the links make components. Cells that still hold several components are joined, and there
-only pairs of different components can meet. Cells of a single fingerprint are left out
-after counting them, with counts combined before the shuffle.
+the links make components. Cells of three or more that still hold several components are
+joined, and there only pairs of different components can meet. Cells of a single
+fingerprint are left out after counting them, with counts combined before the shuffle.
 
 Cases: null texts and texts without words have the fingerprint zero, which links like any
 other; fewer words than a shingle make one shingle; words and texts may have any length, a
@@ -36,8 +36,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import lookup_join
-from .common import DOC, blank, documents, identified, materialize, slices
+from ..session import fits_broadcast, lookup_join
+from .common import DOC, blank, documents, identified, materialize, partitions, slices
 from .components import components
 from .registry import query
 
@@ -133,10 +133,15 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     ``distinct`` has distinct ``print`` and the smallest document ``rep`` of each.
     """
-    gridded = distinct.select("print", "rep", F.explode(cells(embedded(F.col("print")), distance)).alias("cell"))
+    # A fingerprint becomes a row for each cell, so even a small table deserves all tasks.
+    spread = distinct.repartition(partitions(distinct.sparkSession))
+    gridded = spread.select("print", "rep", F.explode(cells(embedded(F.col("print")), distance)).alias("cell"))
     counted = gridded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("pivot"))
-    shared = materialize(counted.filter("n > 1").select("cell", "pivot"), "cells")
-    rows = materialize(lookup_join(gridded, shared, ["cell"], F.col("rep"), "inner"), "cell-rows")
+    shared = materialize(counted.filter("n > 1"), "cells")
+    # With two fingerprints in a cell the pivot settles it; most of these are no links.
+    settled = (F.col("n") == 2) & ~((F.col("print") != F.col("pivot")) & within(distance, "print", "pivot"))
+    small = F.broadcast(shared) if fits_broadcast(shared) else shared
+    rows = materialize(gridded.join(small, "cell").filter(~settled), "cell-rows")
     to_pivot = rows.filter((F.col("print") != F.col("pivot")) & within(distance, "print", "pivot"))
     owners = distinct.select(F.col("print").alias("pivot"), F.col("rep").alias("b"))
     first = lookup_join(
@@ -144,7 +149,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     ).select(F.col("rep").alias("a"), "b")
     labels = components(first)
     own = labels.select(F.col("node").alias("rep"), "label")
-    placed = rows.select("cell", "print", "rep").join(own, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    placed = rows.filter("n > 2").select("cell", "print", "rep").join(own, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     parts = placed.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("cell").agg(
         F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts")
