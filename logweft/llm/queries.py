@@ -6,6 +6,7 @@ from . import (
     near_dups,
     packing,
     personal_data,
+    prefix_trie,
     quality,
     recompression,
     secrets,
@@ -23,6 +24,7 @@ __all__ = [
     "near_dups",
     "packing",
     "personal_data",
+    "prefix_trie",
     "quality",
     "recompression",
     "secrets",
