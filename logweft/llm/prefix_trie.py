@@ -3,7 +3,7 @@
 Turns are encoded once, as 128 bits of the SHA-256 of role and text; a conversation is the
 string of its codes. Equal conversations are united, and the distinct sequences are sorted
 over range shards, so the conversations of a node lie side by side. Of a hot sequence only
-packets of members travel, 4,096 consecutive IDs at most in each.
+packets of members travel, 256 consecutive IDs at most in each.
 
 A shard is taken in blocks. The codes of a block get small numbers in code order, a ternary
 search tree over these takes the sequences in median order, which balances the search trees

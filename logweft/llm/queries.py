@@ -2,6 +2,7 @@
 
 from . import (
     contamination,
+    hard_negatives,
     line_dedup,
     near_dups,
     packing,
@@ -20,6 +21,7 @@ __all__ = [
     "ORACLES",
     "QUERIES",
     "contamination",
+    "hard_negatives",
     "line_dedup",
     "near_dups",
     "packing",
