@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import brute
+import pyarrow as pa
 import pytest
 
 from logweft.llm import personal_data as pd_
@@ -79,11 +81,25 @@ def added(text):
         ("ja​ne@ho​st.org", "email", "ja​ne@ho​st.org"),
         ("ip ١٠.٠.٠.١ end", "ip", "١٠.٠.٠.١"),
         ("call plus four nine one seven one two three four five now", "phone", "plus four nine one seven one two three four five"),
+        ("mail alice [at] example dot com now", "email", "alice [at] example dot com"),
+        ("mail alice@example dot co dot uk, now", "email", "alice@example dot co dot uk"),
+        ("host 10 dot 0 dot 0 dot 1 is down", "ip", "10 dot 0 dot 0 dot 1"),
+        ("mail Alice (At) mail.example DOT com", "email", "Alice (At) mail.example DOT com"),
         ("card four one one one one one one one one one one one one one one one.", "card", "four" + " one" * 15),
     ],
 )
 def test_disguises(text, kind, span):
     assert (kind, span) in [(k, t) for k, t in added(text)]
+    assert pd_.batch_spans(pa.array([text])) == [pd_.find_spans(text)]
+
+
+def test_batches():
+    """The tests of batches leave out nothing that the finders find."""
+    rng = random.Random(4)
+    bits = ["1", "23", "256", ".", "..", "+", "@", "a", "é", "-", " ", "  ", "4111111111111111", "\n", "[at]", "( DOT )", " dot ", "_dot_"]
+    bits += ["\u00a0", "\u2003", "one ", "Four-", "seven,", "ſix ", "\u0430", "\u200b", "(", ")", "\U0001d7ce", "x@y.z", "10.0.0.1"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(20_000)]
+    assert pd_.batch_spans(pa.array(texts)) == [pd_.find_spans(text) for text in texts]
 
 
 @pytest.mark.parametrize(
