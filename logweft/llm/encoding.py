@@ -2,13 +2,17 @@
 
 Most words of a corpus occur again and again. A text is cut where no token can reach
 across, each distinct unit is encoded once by the library, and the IDs of a text are
-those of its units in order: the same IDs as of the whole text.
+those of its units in order: the same IDs as of the whole text. Strings of special tokens
+are encoded as the library does by default: as those tokens.
+
+A worker keeps up to ``MEMO_UNITS`` units, about 150 bytes each.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -16,6 +20,9 @@ import numpy as np
 MEMO_UNITS = 1_000_000
 MEMO_LENGTH = 40
 
+#: Marks the unit at the start of a text. No unit of UTF-8 text begins with it.
+_FIRST = "\udfff"
+
 _ENCODERS: dict[tuple, "Encoder"] = {}
 
 
@@ -29,7 +36,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         self.kind = f"<u{width}"
         self.memo: dict[str, bytes] = {}
@@ -37,30 +43,52 @@ class Encoder:
         self.unsafe = re.compile(r"\s ")
         self.cut = re.compile(r"(?<=\S)(?= )")
         self.near = re.compile(r"^\n|\n$|\s\n|\n\s")
-        self.tail = re.compile(r"[A-Za-z][,.]\Z")
+        self.ends = frozenset(",.")
+        self.letters = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         # Without offsets, which nobody reads here.
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in encoded]
+        ids = [x.ids for x in encoded]
+        flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
+        width, at, out = int(self.kind[-1]), 0, []
+        for row in ids:
+            end = at + width * len(row)
+            out.append(flat[at:end])
+            at = end
+        return out
 
     def _units(self, text: str) -> list[str]:
+        """The first unit is marked if it has no space before it where others have one."""
         if not self.spaced:
+            if "<|" in text:
+                # Upper-case strings that only look like special tokens must not become ones.
+                return text.replace("\n", " ").split(" ")
             # The tokenizer lower-cases; doing so for ASCII first makes more words alike.
             return text.encode("utf-8", "replace").lower().decode().replace("\n", " ").split(" ")
         if self.unsafe.search(text):
-            return self.cut.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            first, *rest = self.cut.split(text)
+            return [_FIRST + first, *[x[1:] for x in rest]]
+        units = text.split(" ")
+        units[0] = _FIRST + units[0]
+        return units
+
+    def _whole(self, unit: str) -> str:
+        """The text that a unit stands for; the space before it is not part of its name."""
+        if not self.spaced:
+            return unit
+        return unit[1:] if unit[:1] == _FIRST else " " + unit
 
     def _atoms(self, unit: str) -> list[str]:
         """Smaller units in ``unit``: line ends between words, a comma or stop at the end."""
+        if "\n" not in unit:
+            return [unit[:-1], unit[-1]] if unit[-2:-1] in self.letters else [unit]
         words = [unit]
-        if "\n" in unit and not self.near.search(unit):
+        if not self.near.search(unit):
             words = [x for part in unit.split("\n") for x in (part, "\n")][:-1]
         out = []
         for word in words:
-            if self.tail.search(word):
+            if word[-1:] in self.ends and word[-2:-1] in self.letters:
                 out += [word[:-1], word[-1]]
             else:
                 out.append(word)
@@ -73,11 +101,11 @@ class Encoder:
             memo.clear()
         missing = set().union(*units).difference(memo)
         if missing:
-            atoms = {u: self._atoms(u) for u in missing if u[-1:] in (",", ".") or "\n" in u}
-            fresh = list(missing.difference(atoms).union(*atoms.values()).difference(memo))
+            whole = {u: self._whole(u) for u in missing}
+            atoms = {u: self._atoms(w) for u, w in whole.items() if w[-1:] in self.ends or "\n" in w}
+            fresh = list({w for u, w in whole.items() if u not in atoms}.union(*atoms.values()))
             found = dict(zip(fresh, self._library(fresh), strict=True))
-            memo.update(found)
-            memo.update({u: b"".join([memo[a] for a in row]) for u, row in atoms.items()})
+            memo.update({u: b"".join([found[a] for a in atoms[u]]) if u in atoms else found[w] for u, w in whole.items()})
         out = [b"".join(map(memo.__getitem__, row)) for row in units]
         for unit in missing:
             if len(unit) > MEMO_LENGTH:

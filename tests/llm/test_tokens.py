@@ -21,6 +21,9 @@ ODD = [
     (4, "same row"),
     (4, "same row"),
     (7, "end. Next, word.\nLine, É é ſ İ K Σς  <|endoftext|> 's don't"),
+    (6, "one <|endoftext|> two<|ENDOFTEXT|>, <|startoftext|>.<|StartOfText|>\nA<|endoftext|>\n<|startoftext|> B <| C |> ſ"),
+    (10, "<|endoftext|>"),
+    (11, " <|endoftext|>  <|endoftext|> \n"),
     (8, "x" * 5000),
     (1, "word " * 6000),
 ]
@@ -28,7 +31,6 @@ ODD = [
 
 def ids_of(path: str, texts: list[str], end: int) -> list[list[int]]:
     tool = Tokenizer.from_file(path)
-    tool.encode_special_tokens = True
     return [x.ids + [end] for x in tool.encode_batch(texts, add_special_tokens=False)]
 
 
