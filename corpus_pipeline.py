@@ -7,8 +7,8 @@ quality rules go; repeated lines go from the texts (``n_chars`` follows); of eac
 near duplicates the smallest document stays; documents with benchmark passages go.
 
 Cases: null texts count as empty, and fail the quality rules; rows without ID and repeated
-rows are documents of their own; columns that the stages do not know are kept as they are;
-an empty table goes through all stages.
+rows are documents of their own; columns that the stages do not know are kept as they are,
+whatever their names and types; an empty table goes through all stages.
 """
 
 from __future__ import annotations
@@ -24,36 +24,43 @@ from logweft.llm.packing import packed
 from logweft.llm.quality import quality
 
 
+def numbered(docs: DataFrame, *used: str) -> DataFrame:
+    """``_doc``, ``doc_id`` and the columns ``used``, beside ``row`` with all columns as they
+    are, so that no name in the documents meets one of a stage."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return identified(docs.select("doc_id", *used, whole))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
-    known = identified(docs)
+    known = numbered(docs, "text", "lang", "source")
     kept = quality(known).filter("kept").select(DOC)
-    return known.join(kept, DOC, "left_semi").select(*docs.columns)
+    return known.join(kept, DOC, "left_semi").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a later document keeps."""
-    known = identified(docs)
-    cleaned = drop_repeated_lines(known).select(DOC, F.col("text").alias("cleaned"))
+    known = numbered(docs, "text")
+    cleaned = drop_repeated_lines(known.select(DOC, "doc_id", "text")).select(DOC, F.col("text").alias("cleaned"))
     changed = {"text": F.col("cleaned"), "n_chars": F.char_length("cleaned").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return known.drop("text").join(cleaned, DOC).select(
-        *(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns)
+    return known.select(DOC, "row").join(cleaned, DOC).select(
+        *(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns)
     )
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    known = identified(docs)
+    known = numbered(docs, "text")
     labelled = near_duplicates(known.select(DOC, blank("text").alias("text")))
     kept = labelled.filter(F.col(DOC) == F.col("label")).select(DOC)
-    return known.join(kept, DOC, "left_semi").select(*docs.columns)
+    return known.join(kept, DOC, "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of a benchmark item."""
-    known = identified(docs)
+    known = numbered(docs, "text")
     found = find_passages(known.select(DOC, "text"), table(spark, sf_dir, "benchmark"))
-    return known.join(found.filter("n_hit > 0").select(DOC), DOC, "left_anti").select(*docs.columns)
+    return known.join(found.filter("n_hit > 0").select(DOC), DOC, "left_anti").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

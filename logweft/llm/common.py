@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,16 +33,21 @@ def identified(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with a unique long ``_doc`` whose order is that of the documents.
 
     That is the ID itself where IDs are unique integers. Otherwise (nulls, repeated
-    rows, other types) the rows are numbered once in the order of ID, then text, nulls
-    last, and stored, so that later scans see the same numbers. A repeated row counts as
-    a document of its own.
+    rows, other types) the rows are numbered once in the order of ID, then the other
+    columns, nulls last, and stored, so that later scans see the same numbers. Columns
+    without an order of their own come last, by a hash. A repeated row counts as a
+    document of its own.
     """
     kind = dict(docs.dtypes)[id_col]
     if kind in ("bigint", "int", "smallint", "tinyint"):
         repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
         if not repeated.filter((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).collect():
             return docs.withColumn(DOC, F.col(id_col).cast("long"))
-    order = [F.col(id_col).asc_nulls_last(), *(F.col(c).asc_nulls_last() for c in docs.columns if c != id_col)]
+    rest = [c for c in docs.columns if c != id_col]
+    unordered = [c for c in rest if re.search("map<|variant", dict(docs.dtypes)[c])]
+    order = [F.col(c).asc_nulls_last() for c in [id_col, *(c for c in rest if c not in unordered)]]
+    if unordered:
+        order.append(F.xxhash64(F.to_json(F.struct(*unordered))).asc())
     ordered = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     return materialize(ordered.withColumn(DOC, F.monotonically_increasing_id()), "numbered")
 

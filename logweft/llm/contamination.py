@@ -105,7 +105,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
     return checked.select(DOC, "n_words").join(covered, DOC, "left").select(
         DOC, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
+        F.coalesce("items", F.array().cast(covered.schema["items"].dataType)).alias("items"),
     )
 
 

@@ -5,7 +5,7 @@ across, each distinct unit is encoded once by the library, and the IDs of a text
 those of its units in order: the same IDs as of the whole text. Strings of special tokens
 are encoded as the library does by default: as those tokens.
 
-A worker keeps up to ``MEMO_UNITS`` units, about 150 bytes each.
+A worker keeps up to ``MEMO_UNITS`` units, about 200 bytes each.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 
 #: Units kept in a worker, and the longest one worth keeping.
-MEMO_UNITS = 1_000_000
+MEMO_UNITS = 1_500_000
 MEMO_LENGTH = 40
 
 #: Marks the unit at the start of a text. No unit of UTF-8 text begins with it.

@@ -90,11 +90,12 @@ def pieces(
                     (doc_id, at // width, ids[at : at + step], len(ids) // width)
                     for at in range(0, len(ids), step)
                 ]
-            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64()))]
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), (batch.column(0).type, pa.int64(), pa.binary(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "ids", "doc_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), blank(text_col).alias("text"))
-    cut_rows = rows.mapInArrow(cut, "doc_id long, start long, ids binary, doc_tokens long")
+    rows = docs.select(F.col(id_col).alias("id"), blank(text_col).alias("text"))
+    kind = dict(rows.dtypes)["id"]
+    cut_rows = rows.mapInArrow(cut, f"doc_id {kind}, start long, ids binary, doc_tokens long")
     return cut_rows.withColumn("length", F.expr(f"octet_length(ids) div {width}"))
 
 
@@ -126,7 +127,7 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     ordered = spread.sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids")
     return ordered.mapInArrow(
         place,
-        "doc_id long, start long, ids binary, doc_tokens long, length long, sequence_id long, offset long",
+        f"doc_id {dict(cut.dtypes)['doc_id']}, start long, ids binary, doc_tokens long, length long, sequence_id long, offset long",
     )
 
 

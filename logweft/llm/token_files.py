@@ -47,10 +47,9 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     mark = F.xxhash64(F.col(id_col).cast("string"))
     room = F.greatest(F.lit(1), F.length(text_col) - F.lit(SAMPLE_CHARACTERS) + 1)
     window = F.substr(F.col(text_col), F.pmod(mark, room).cast("int") + 1, F.lit(SAMPLE_CHARACTERS))
-    filled = docs.filter(F.length(text_col) > 0)
-    # The smallest hashes first, without texts. Rows of one hash count once.
-    marks = [row["mark"] for row in filled.select(mark.alias("mark")).orderBy("mark").limit(SAMPLE_DOCUMENTS).collect()]
-    rows = filled.filter(mark.isin(marks)).groupBy(mark.alias("mark")).agg(F.min(window).alias("text")).orderBy("mark").collect()
+    # The smallest hashes first, from a scan of the IDs alone. Rows of one hash count once.
+    marks = [row["mark"] for row in docs.select(mark.alias("mark")).orderBy("mark").limit(SAMPLE_DOCUMENTS).collect()]
+    rows = docs.filter(mark.isin(marks) & (F.length(text_col) > 0)).groupBy(mark.alias("mark")).agg(F.min(window).alias("text")).orderBy("mark").collect()
     samples = encoder(path, spaced=True).encode([row["text"] for row in rows])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()

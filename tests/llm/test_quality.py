@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import brute
 import numpy as np
@@ -54,20 +55,48 @@ def test_base(spark, rows, monkeypatch):
     assert not got.filter("base_failed AND kept").count()
 
 
-def reference_distances(x: np.ndarray) -> np.ndarray:
-    """The same estimate in numpy, with exact medians and quantiles."""
+def binned(x: np.ndarray, share: float) -> np.ndarray:
+    """Upper edges of the bins in which the share of each column is reached."""
+    bins = np.sort(np.floor(x * quality.BINS), axis=0)
+    return (bins[int(np.ceil(share * len(x))) - 1] + 1) / quality.BINS
+
+
+def reference_distances(x: np.ndarray, quantile=lambda x, share: np.quantile(x, share, axis=0)) -> np.ndarray:
+    """The same estimate in numpy, with exact medians and quantiles if not told otherwise."""
     floors = np.array(quality.FLOORS)
-    middle = np.median(x, axis=0)
-    scale = np.maximum(1.4826 * np.median(np.abs(x - middle), axis=0), floors)
+    middle = quantile(x, 0.5)
+    scale = np.maximum(1.4826 * quantile(np.abs(x - middle), 0.5), floors)
     d = (((x - middle) / scale) ** 2).sum(axis=1)
     for _ in range(quality.STEPS):
-        core = x[d <= np.quantile(d, quality.CORE)]
+        core = x[np.sqrt(d) < quantile(np.sqrt(d), quality.CORE)]
         scatter = np.cov(core.T, bias=True) * quality.CONSISTENCY + np.diag(floors**2)
         apart = x - core.mean(axis=0)
         d = (apart @ np.linalg.inv(scatter) * apart).sum(axis=1)
     return d
 
 
+def plain_kept(rows) -> dict:
+    """Whether each document (ID, text, language, source) stays, with the estimate of its
+    language and source, of its language, or of all rows: the first with enough rows."""
+    kept, judged = {}, []
+    for (doc_id, text, lang, source), own in ((r, plain([r[:2]])[0]) for r in rows):
+        kept[doc_id] = not own[-1]
+        if not own[-1]:
+            _, n, chars, symbols, lines, repeated, _ = own
+            x = (np.log1p(n), np.log1p(chars / n), (symbols / len(text)) ** 0.5, np.log1p(lines), (repeated / n) ** 0.5)
+            judged.append((doc_id, ((lang, source), (lang,), ()), x))
+    sizes = Counter(key for _, keys, _ in judged for key in keys)
+    distances = {
+        key: dict(zip(own, reference_distances(np.array([x for _, keys, x in judged if key in keys]), binned), strict=True))
+        for key in {next((k for k in keys if sizes[k] >= quality.LEAST_ROWS), ()) for _, keys, _ in judged}
+        for own in [[i for i, keys, _ in judged if key in keys]]
+    }
+    for doc_id, keys, _ in judged:
+        d = distances[next((k for k in keys if sizes[k] >= quality.LEAST_ROWS), ())][doc_id]
+        kept[doc_id] = bool(d <= quality.LIMIT)
+    return kept
+
+
 def test_outliers(spark, monkeypatch):
     """Planted junk is rejected, clean texts stay, distances agree with numpy."""
     rng = random.Random(0)
