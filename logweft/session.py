@@ -40,7 +40,11 @@ def work_dir(spark: SparkSession) -> str:
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logweft-"))
         configured = spark.sparkContext.getCheckpointDir()
-    return f"{configured}/logweft-{spark.sparkContext.applicationId}"
+    # Libraries other than Spark take a path without scheme for one of their own machine.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(configured)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    shared = files.makeQualified(path).toString()
+    return f"{shared}/logweft-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -59,6 +63,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(stored: DataFrame) -> None:
+    """Delete the table behind ``stored``, which ``materialize`` wrote and nothing will read."""
+    spark = stored.sparkSession
+    own = work_dir(spark)
+    for folder in {file.rpartition("/")[0] for file in stored.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if files.makeQualified(path).toString().rpartition("/")[0] == own:
+            files.delete(path, True)
+
+
 def drop_work_dir(spark: SparkSession) -> None:
     """Delete what this application stored in the shared folder.
 
