@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import forget
 from .common import materialize
 
 
@@ -37,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.distinct(), "edges")
     mark = None
     while True:
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, materialize(_small_star(_large_star(edges)), "stars")
+        forget(before)
         new = edges.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()

@@ -29,6 +29,7 @@ other columns do not matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import forget
 from .anchors import BASE, mix, prefix_hashes, span_hashes
 from .common import DOC, blank, documents, identified, materialize, slices
 from .components import components
@@ -136,7 +138,10 @@ def shareable(texts: DataFrame) -> DataFrame:
     alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(DOC).alias(DOC)).filter("n = 1")
     lost = alone.groupBy(DOC).agg(F.count(F.lit(1)).alias("u"))
     sizes = rows.groupBy(DOC).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(lost, DOC, "left").select(DOC, "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+    found = sizes.join(lost, DOC, "left").select(DOC, "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+    found = materialize(found, "bounds")
+    forget(rows)
+    return found
 
 
 def agreeing() -> Column:
@@ -174,12 +179,13 @@ def band_pairs(placed: DataFrame, width: int) -> DataFrame:
     pivots = rows.groupBy("key").agg(
         F.max(pivot).alias("pivot"), F.min("label").alias("least"), F.max("label").alias("most")
     ).filter("least < most").select("key", "pivot")
-    met = rows.join(pivots, "key").filter(F.col("label") != F.col("pivot.label")).select(
+    met = rows.join(pivots, "key").filter(F.col("label") != F.col("pivot.label")).groupBy(
         F.col(DOC).alias("a"), F.col(f"pivot.{DOC}").alias("b")
-    ).distinct()
-    close = met.join(side(placed, "a"), "a").join(side(placed, "b"), "b").filter(possible())
-    best = close.groupBy("a").agg(F.max(F.struct(agreeing().alias("agree"), "b")).alias("best"))
-    return best.filter(F.col("best.agree") >= MATCHES).select("a", "best.b")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    # One pivot for each document before signatures are joined: that of the most bands.
+    best = met.groupBy("a").agg(F.max(F.struct("n", F.xxhash64("a", "b"), "b")).alias("best")).select("a", "best.b")
+    close = best.join(side(placed, "a"), "a").join(side(placed, "b"), "b")
+    return close.filter(possible() & (agreeing() >= MATCHES)).select("a", "b")
 
 
 def remaining_pairs(listed: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -197,7 +203,7 @@ def remaining_pairs(listed: DataFrame, placed: DataFrame, texts: DataFrame) -> D
     ).filter("parts > 1").select("token", F.col("main.label").alias("main"))
     rows = materialize(labelled.join(lists, "token"), "lists")
     open_ = rows.select(DOC).distinct()
-    bounds = materialize(shareable(texts.join(open_, DOC, "left_semi")), "bounds")
+    bounds = shareable(texts.join(open_, DOC, "left_semi"))
     rows = rows.join(bounds, DOC)
     ends = rows.groupBy("token").agg(F.min("n").alias("least_n"), F.max("s").alias("most_s"))
     able = 175 * F.least("s", "most_s") >= 75 * (F.col("n") + F.col("least_n"))
@@ -273,6 +279,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     posted = listed.select(DOC).distinct()
     texts = materialize(docs.select(DOC, "text").join(posted, DOC, "left_semi"), "candidates")
     known = materialize(signed.select(DOC, "n_shingles", "tokens", "bits").join(posted, DOC, "left_semi"), "candidate-signatures")
+    forget(signed)
     labels = None
 
     def placed() -> DataFrame:
@@ -284,8 +291,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for width in (*BAND_WIDTHS, None):
         pairs = band_pairs(placed(), width) if width else remaining_pairs(listed, placed(), texts)
         pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
-        found = materialize(confirm(pairs, known, texts), "links")
-        labels = components(found if labels is None else found.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        found, before = materialize(confirm(pairs, known, texts), "links"), labels
+        old = [] if before is None else [before.select(F.col("node").alias("a"), F.col("label").alias("b"))]
+        labels = components(reduce(DataFrame.union, old, found))
+        for table in [found, *old]:
+            forget(table)
     return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         DOC, "n_shingles", F.coalesce("label", "rep").alias("label")
     )
