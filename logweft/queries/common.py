@@ -66,10 +66,10 @@ def app_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                 text("cache eviction storm shard ", k),
             ).otherwise(text("disk quota exceeded volume ", k)),
         )
-        .when(event % 4 == 0, text("database timeout after ", k, " ms order id=", event))
-        .when(event % 4 == 1, text("connection refused by node 192.0.2.", k))
-        .when(event % 4 == 2, text("authentication failed for user u", user, "@example.test"))
-        .otherwise(text("upstream returned error code ", k % 4 + 500, " request_id=", event))
+        .when(event % 4 == 0, text("valve ", k, " stuck open on line id=", event))
+        .when(event % 4 == 1, text("gauge at 192.0.2.", k, " reads nothing"))
+        .when(event % 4 == 2, text("badge of u", user, "@example.test rejected at the gate"))
+        .otherwise(text("relay ", k % 4 + 500, " dropped its frame request_id=", event))
     )
     return table(spark, sf_dir, "events").select(
         "event_id",
@@ -270,10 +270,10 @@ app AS (
     'req-' || user_id AS correlation_id,
     CASE WHEN event_id % 10 = 7 THEN CASE WHEN ts < TIMESTAMP '{PERIOD_CUT}'
         THEN 'cache eviction storm shard ' || k ELSE 'disk quota exceeded volume ' || k END
-      WHEN event_id % 4 = 0 THEN 'database timeout after ' || k || ' ms order id=' || event_id
-      WHEN event_id % 4 = 1 THEN 'connection refused by node 192.0.2.' || k
-      WHEN event_id % 4 = 2 THEN 'authentication failed for user u' || user_id || '@example.test'
-      ELSE 'upstream returned error code ' || (500 + k % 4) || ' request_id=' || event_id
+      WHEN event_id % 4 = 0 THEN 'valve ' || k || ' stuck open on line id=' || event_id
+      WHEN event_id % 4 = 1 THEN 'gauge at 192.0.2.' || k || ' reads nothing'
+      WHEN event_id % 4 = 2 THEN 'badge of u' || user_id || '@example.test rejected at the gate'
+      ELSE 'relay ' || (500 + k % 4) || ' dropped its frame request_id=' || event_id
     END AS message,
     event_id % 10 <> 7 AND event_id % 4 = 3 AS upstream,
     replace(CAST(ts AS VARCHAR), ' ', 'T') AS iso,

@@ -164,32 +164,52 @@ def _folder_name(source: Column) -> Column:
     return F.regexp_extract(source, r"/log-([a-z]+)[0-9]*-[0-9a-f]+/", 1)
 
 
+def _detected(spark, folders: list[str]) -> DataFrame:
+    """Each file with what was found out about it, its lines, and its records: lines but the
+    header of CSV files."""
+    formats = detect_format(spark, folders)
+    lines = read_numbered_lines(spark, folders).groupBy("source").agg(F.count("*").alias("lines"))
+    headers = F.when(F.col("format") == "csv", 1).otherwise(0)
+    return formats.join(lines, "source").withColumn("records", F.col("lines") - headers)
+
+
+# Messages of CSV files have a second line in every fourth record.
+_CSV_LINES = "count(*) + count(*) FILTER (event_id % 4 = 0)"
+
+
 @query(
     "detect_format",
-    "SELECT * FROM (VALUES ('plain', 'plain'), ('json', 'jsonl'), ('csv', 'csv'), "
-    "('gzip', 'plain')) AS t(folder, format)",
+    sql_app(
+        "SELECT 'plain' AS folder, 'plain' AS format, count(*) AS records FROM app "
+        "UNION ALL SELECT 'json', 'jsonl', count(*) FROM app "
+        "UNION ALL SELECT 'gzip', 'plain', count(*) FROM app "
+        f"UNION ALL SELECT 'csv', 'csv', {_CSV_LINES} FROM app"
+    ),
 )
 def detect(spark, sf_dir):
+    """Lines of all files by the format that was found for them."""
     folders = [
         plain_folder(spark, sf_dir),
         _sniffed_json_folder(spark, sf_dir),
         csv_folder(spark, sf_dir),
         _gzip_folder(spark, sf_dir),
     ]
-    formats = detect_format(spark, folders)
-    return formats.select(_folder_name(F.col("source")).alias("folder"), "format").distinct()
+    found = _detected(spark, folders)
+    return found.groupBy(_folder_name(F.col("source")).alias("folder"), "format").agg(F.sum("records").alias("records"))
 
 
 @query(
     "sniff_delimiter",
-    "SELECT * FROM (VALUES (',', ','), (';', ';'), ('|', '|'), (chr(9), chr(9))) "
-    "AS t(written, found)",
+    sql_app(
+        f"SELECT written, written AS found, {_CSV_LINES} AS records "
+        "FROM app, (VALUES (','), (';'), ('|'), (chr(9))) AS t(written) GROUP BY written"
+    ),
 )
 def sniff_delimiter(spark, sf_dir):
-    folders = {delimiter: csv_folder(spark, sf_dir, delimiter) for delimiter in (",", ";", "|", "\t")}
-    formats = detect_format(spark, list(folders.values()))
+    """Lines of CSV files by the delimiter that they were written with and the one found."""
+    found = _detected(spark, [csv_folder(spark, sf_dir, delimiter) for delimiter in (",", ";", "|", "\t")])
     code = F.regexp_extract("source", r"/log-csv([0-9]+)-", 1).cast("int")
-    return formats.select(F.chr(code).alias("written"), F.col("delimiter").alias("found")).distinct()
+    return found.groupBy(F.chr(code).alias("written"), F.col("delimiter").alias("found")).agg(F.sum("records").alias("records"))
 
 
 @query(
@@ -553,9 +573,9 @@ demo AS (
       WHEN l < 0.08 THEN 'WARNING' ELSE 'INFO' END AS level,
     {_SERVICES}[event_id % 5 + 1] AS service,
     'demo-' || lpad(CAST(event_id // 5 AS VARCHAR), 8, '0') AS correlation_id,
-    CASE WHEN burst OR e < 0.07 THEN replace({_ERRORS}[CAST(floor(m * 4) AS BIGINT) + 1],
+    CASE WHEN burst OR e < 0.07 THEN replace({_ERRORS}[CAST(floor(m * {len(DEMO_ERROR_MESSAGES)}) AS BIGINT) + 1],
         '{{id}}', CAST(100000 + event_id AS VARCHAR))
-      ELSE {_NORMAL}[CAST(floor(m * 4) AS BIGINT) + 1] END AS message
+      ELSE {_NORMAL}[CAST(floor(m * {len(DEMO_NORMAL_MESSAGES)}) AS BIGINT) + 1] END AS message
   FROM drawn
 )"""
 

@@ -302,10 +302,10 @@ def new_errors(spark, sf_dir):
     return compare.new_errors(_period_cells(spark, sf_dir, "level", "normalized_message"))
 
 
-@query("resolved_errors", sql_app(_sql_only_in("baseline", 3), ERRORS, _PERIOD_GROUPS))
+@query("resolved_errors", sql_app(_sql_only_in("baseline", 10), ERRORS, _PERIOD_GROUPS))
 def resolved_errors(spark, sf_dir):
     found = _period_cells(spark, sf_dir, "level", "normalized_message")
-    return compare.resolved_errors(found, 3)
+    return compare.resolved_errors(found)
 
 
 @query(

@@ -48,7 +48,26 @@ def _by_dialect(dialects: list, value) -> Column:
     return chosen
 
 
-def _line_states(lines: DataFrame, dialects: list) -> DataFrame:
+def parsed_cells(records: DataFrame, dialects: list, width: int) -> DataFrame:
+    """``records`` with the first ``width`` cells of their ``value`` as ``cells``, each row
+    in its own dialect."""
+    names = [f"c{index}" for index in range(max(width, 1))]
+
+    def cells(dialect) -> Column:
+        options = {
+            "sep": dialect["delimiter"],
+            "quote": dialect["quote"],
+            "escape": dialect["quote"],
+            "maxColumns": str(width + 20_480),
+            "ignoreLeadingWhiteSpace": str(dialect["skip_space"]).lower(),
+        }
+        return F.from_csv("value", ", ".join(f"{name} string" for name in names), options)
+
+    parsed = records.withColumn("_row", _by_dialect(dialects, cells))
+    return parsed.withColumn("cells", F.array(*(F.col(f"_row.{name}") for name in names))).drop("_row")
+
+
+def line_states(lines: DataFrame, dialects: list) -> DataFrame:
     def pattern(index: int, without_quote: bool) -> Column:
         return _by_dialect(
             dialects,
@@ -153,7 +172,7 @@ def csv_rows(lines: DataFrame, heads: DataFrame) -> DataFrame:
     about = heads.select("source", *_DIALECT, "header")
     known = lookup_join(lines, about, ["source"], F.col("line_number"))
     known = known.withColumn("delimiter", present("delimiter")).where(F.size("header") > 0)
-    states = _line_states(known, dialects)
+    states = line_states(known, dialects)
     opening = materialize(states.where("_opens").select("source").distinct(), "csv-opening")
     records = states.select(
         "source",
@@ -180,27 +199,13 @@ def csv_rows(lines: DataFrame, heads: DataFrame) -> DataFrame:
         )
         records = simple.drop("_spans").unionByName(stitched)
 
-    schema = ", ".join(f"c{index} string" for index in range(max(width or 0, 1)))
-
-    def cells(dialect) -> Column:
-        options = {
-            "sep": dialect["delimiter"],
-            "quote": dialect["quote"],
-            "escape": dialect["quote"],
-            "maxColumns": str((width or 0) + 20_480),
-            "ignoreLeadingWhiteSpace": str(dialect["skip_space"]).lower(),
-        }
-        return F.from_csv("value", schema, options)
-
     data = records.where((F.col("first_line") > 1) & (F.col("value") != ""))
-    data = data.withColumn("_row", _by_dialect(dialects, cells))
-    row = F.array(*(F.col(f"_row.c{index}") for index in range(max(width or 0, 1))))
-    return data.select(
+    return parsed_cells(data, dialects, width or 0).select(
         "source",
         "line_number",
         "arrival",
         "header",
-        F.slice(row, F.lit(1), F.size("header")).alias("cells"),
+        F.slice("cells", F.lit(1), F.size("header")).alias("cells"),
     )
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.parse import RECORD_COLUMNS, json_records, plain_records
-from ..session import materialize
+from ..session import lookup_join, materialize
 from .csv_lines import csv_records
-from .detect import FORMATS, format_of_name, name_has_format, sniff_heads, suffix_format
+from .detect import FORMATS, format_of_name, name_has_format, name_needs_look, sniff_heads, suffix_format
 from .lines import (
     checked_paths,
     chunk_counts,
@@ -45,34 +45,36 @@ def route_files(
     """Lines per format, and the heads of the files that had to be looked into.
 
     Files with a telling suffix are chosen by a filter on the file name, which
-    prunes the listing, so that each file is read by one format only.
+    prunes the listing, so that each file is read by one format only. The lines of
+    the others are stored once, for the look as well as for the parsers.
     """
     if log_format is not None:
         if log_format not in FORMATS:
             raise ValueError(f"unknown log format: {log_format}")
-        heads = sniff_heads(spark, files, "csv") if log_format == "csv" else None
-        return {log_format: [read_lines(spark, paths)]}, heads
+        if log_format != "csv":
+            return {log_format: [read_lines(spark, paths)]}, None
+        stored = materialize(read_lines(spark, paths), "csv-lines")
+        return {"csv": [stored]}, materialize(sniff_heads(stored, "csv"), "file-heads")
 
-    names = {source: format_of_name(name) for source, name in files}
-    by_suffix = set(names.values())
+    by_suffix = {format_of_name(name) for _, name in files}
     lines = {
         name: [read_lines(spark, paths, name_has_format(name))]
-        for name in FORMATS
+        for name in ("plain", "jsonl")
         if name in by_suffix
     }
     if by_suffix <= {"plain", "jsonl"}:
         return lines, None
 
-    heads = sniff_heads(spark, files)
-    # Files of which no head was read are empty; they would be plain.
-    unnamed = {source: "plain" for source, name in names.items() if name is None}
-    for row in heads.select("source", "format").toLocalIterator():
-        if row["source"] in unnamed:
-            unnamed[row["source"]] = row["format"]
-    for name in FORMATS:
-        sources = [source for source, found in unnamed.items() if found == name]
-        if sources:
-            lines.setdefault(name, []).append(read_lines(spark, sources))
+    stored = materialize(read_lines(spark, paths, name_needs_look()), "looked-into")
+    heads = materialize(sniff_heads(stored), "file-heads")
+    formats = heads.select("source", "format")
+    seen = sorted(row["format"] for row in formats.select("format").distinct().collect())
+    for name in seen:
+        chosen = formats.where(F.col("format") == name)
+        part = lookup_join(stored, chosen, ["source"], F.col("row_key"), "inner").drop("format")
+        lines.setdefault(name, []).append(part if len(seen) > 1 else stored)
+    # Files without any line.
+    lines.setdefault("csv" if "csv" in by_suffix else "plain", [stored.where(F.lit(False))])
     return lines, heads
 
 
@@ -124,7 +126,7 @@ def read_records(
         return unplaced.select(columns)
 
     line_rows = materialize(_union(parsed), "records") if parsed else None
-    csv_lines = materialize(_union(lines["csv"]), "csv-lines") if "csv" in lines else None
+    csv_lines = _union(lines["csv"]) if "csv" in lines else None
     counts = _union([chunk_counts(part) for part in (line_rows, csv_lines) if part is not None])
     offsets = materialize(chunk_offsets(counts, files), "offsets")
     records = []

@@ -16,7 +16,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-TABLES = "events documents pages conversations labels benchmark".split()
+TABLES = "events documents embeddings pages conversations labels benchmark".split()
 
 
 def database(sf_dir: str) -> duckdb.DuckDBPyConnection:

@@ -51,18 +51,18 @@ def test_normalize(spark):
         "Job 123e4567-e89b-12d3-a456-42661417400a  took 4.5 s",
         " \t ",
         "commit deadbeefdeadbeef1 v1.2 port: 80",
-        "Database timeout 42",
+        "Valve stuck 42",
     )
     assert a == "request_id=<id> failed at <timestamp>"
     assert b == "job <uuid> took <number> s"
     assert c == "<empty>"
     assert d == "commit <hex> v1.2 port=<id>"
-    assert e == "database timeout <number>"
+    assert e == "valve stuck <number>"
 
 
 def test_fingerprint(spark):
-    (found,) = apply(spark, fingerprint_message, "Database timeout 42")
-    assert found == hashlib.sha256(b"database timeout <number>").hexdigest()[:16]
+    (found,) = apply(spark, fingerprint_message, "Valve stuck 42")
+    assert found == hashlib.sha256(b"valve stuck <number>").hexdigest()[:16]
 
 
 def test_levels(spark):

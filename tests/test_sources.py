@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweft.operators.parse import events_of, issues_of
-from logweft.sources.detect import detect_format
-from logweft.sources.lines import read_numbered_lines
+from logweft.sources.detect import detect_format, sniff_heads
+from logweft.sources.lines import read_lines, read_numbered_lines
 from logweft.sources.records import read_records
 
 
@@ -76,6 +76,37 @@ def test_format_detection(spark, tmp_path, plain_log, gzip_log):
                      ("jsonl", None), ("csv", "|"), ("plain", None), ("jsonl", None)]
 
 
+@pytest.mark.parametrize(
+    ("text", "dialect", "header"),
+    [
+        ("a,b\n1,2\n", (",", '"', False), ["a", "b"]),
+        ("a; b; c\n1; 2; 3\n", (";", '"', True), ["a", "b", "c"]),
+        ('"x,y"\t"b\nc"\td\n1,5\t2,5\t3\n', ("\t", '"', False), ["x,y", "b\nc", "d"]),
+        ("'a|b', 'c'\n'1', '2'\n", (",", "'", True), ["a|b", "c"]),
+        ("one word\nother, words\n", (",", '"', False), ["one word"]),
+        ('a|"say ""so"""|\n1|2|\n', ("|", '"', False), ["a", 'say "so"', ""]),
+        ("a,b;c\n1,2;3\n4,5;6\n", (",", '"', False), ["a", "b;c"]),
+        ("a,b,c;d\n" + "1;2\n" * 30, (";", '"', False), ["a,b,c", "d"]),
+        ("\n\na,b\n", (",", '"', False), []),
+    ],
+)
+def test_dialects(spark, tmp_path, text, dialect, header):
+    (tmp_path / "x.csv").write_text(text)
+    (tmp_path / "empty.csv").write_text("")
+    (row,) = sniff_heads(read_lines(spark, str(tmp_path))).collect()
+    assert (row["delimiter"], row["quote"], row["skip_space"]) == dialect
+    assert row["header"] == header and row["sample"] == text[:200]
+
+
+def test_many_files_in_one_look(spark, tmp_path):
+    """The plan does not grow with the number of files."""
+    for k in range(30):
+        (tmp_path / f"n{k:02}").write_text(["{}\n", "time;msg\n1;x\n", "words\n"][k % 3] * (1 + k))
+    found = detect_format(spark, str(tmp_path)).orderBy("ordinal")
+    assert [r["format"] for r in found.collect()] == ["jsonl", "csv", "plain"] * 10
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("Relation") < 10
+
+
 def test_records_of_sniffed_files(spark, tmp_path):
     (tmp_path / "a").write_text('{"timestamp": 1768464000, "level": "warn", "message": "m"}\n')
     (tmp_path / "b").write_text("time;message;level\n2026-01-15T08:00:00Z;hello;INFO\n")
