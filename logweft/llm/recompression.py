@@ -7,9 +7,10 @@ stretches equal names without a table of names to exchange.
 
 Whether a symbol comes into being depends on its neighbours. Each symbol carries the
 reach of words that decided it; equal word sequences have the same symbols among those
-whose reach lies inside. Every window of ``WIDTH`` words is represented by the symbol of
-the highest level inside it with the smallest name; level 0, the words themselves, always
-has one. ``repeats`` brings equal symbols together and verifies the windows around them.
+whose reach lies inside. Every window of ``WIDTH`` words is represented by the symbol
+inside it that stands for the most words, of those the one with the smallest hash; level 0,
+the words themselves, always has one. ``repeats`` brings equal symbols together and
+verifies the windows around them.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A word goes if a window that covers it has a
 word sequence that also starts earlier: in a smaller document or earlier in the same one.
@@ -46,6 +47,8 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SALT = np.uint64(0xD6E8FEB86659FD93)
+#: A symbol's length comes first where symbols are compared, then its hash.
+_LENGTH_BITS, _LENGTH_SHIFT, _LONGEST = np.uint64(6), np.uint64(58), 63
 _NOTHING = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
 
 
@@ -100,37 +103,47 @@ def next_level(level: Level, n_words: int) -> Level:
     return runs.merged(first, paired, low, high)
 
 
-def chosen_symbols(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: level and symbol that represent it, and the symbol's first word."""
+def _smallest(packed: np.ndarray, first: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Minimum of ``packed`` over each range of at most ``WIDTH``, by doubling."""
+    tables = [packed]
+    while 2 ** len(tables) <= WIDTH:
+        half = 2 ** (len(tables) - 1)
+        rest = np.full(min(half, len(packed)), ~np.uint64(0))
+        tables.append(np.minimum(tables[-1], np.concatenate((tables[-1][half:], rest))[: len(packed)]))
+    power = np.log2(np.maximum(behind - first, 1)).astype(np.int64)
+    best = np.empty(len(first), np.uint64)
+    for p in np.unique(power):
+        same = power == p
+        best[same] = np.minimum(tables[p][first[same]], tables[p][behind[same] - 2**p])
+    return best
+
+
+def chosen_symbols(names: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each window: level and symbol that represent it, the symbol's first word and its
+    length. Of equally long symbols the highest level wins."""
     n = len(names)
     here = np.arange(n)
     levels = [Level(names, here, here, here + 1)]
     for _ in range(ROUNDS):
         levels.append(next_level(levels[-1], n))
-    windows = n - WIDTH + 1
-    level_of = np.full(windows, -1)
-    symbol, start = np.zeros(windows, np.uint64), np.zeros(windows, np.int64)
-    open_ = np.arange(windows)
+    windows = np.arange(n - WIDTH + 1)
+    level_of, start, size = (np.zeros(len(windows), np.int64) for _ in range(3))
+    symbol = np.zeros(len(windows), np.uint64)
     for number in range(ROUNDS, -1, -1):
         level = levels[number]
-        first = np.searchsorted(level.low, open_, "left")
-        behind = np.searchsorted(level.high, open_ + WIDTH, "right")
-        some = first < behind
-        first, behind, own = first[some], behind[some], open_[some]
-        packed = (mix(level.names ^ MIX_1) & ~_LOW) | np.arange(len(level.names), dtype=np.uint64)
-        tables = [packed]
-        while 2 ** len(tables) <= WIDTH:
-            half = 2 ** (len(tables) - 1)
-            tables.append(np.minimum(tables[-1], np.concatenate((tables[-1][half:], np.full(min(half, len(packed)), ~np.uint64(0))))[: len(packed)]))
-        power = np.log2(np.maximum(behind - first, 1)).astype(np.int64)
-        best = np.empty(len(own), np.uint64)
-        for p in np.unique(power):
-            same = power == p
-            best[same] = np.minimum(tables[p][first[same]], tables[p][behind[same] - 2**p])
+        first = np.searchsorted(level.low, windows, "left")
+        behind = np.searchsorted(level.high, windows + WIDTH, "right")
+        some = np.flatnonzero(first < behind)
+        # No symbol inside a window is longer than it; the others are never looked at.
+        length = np.minimum(np.diff(np.append(level.starts, n)), _LONGEST)
+        order = (_LONGEST - length).astype(np.uint64) << _LENGTH_SHIFT
+        order |= (mix(level.names ^ MIX_1) >> _LENGTH_BITS) & ~_LOW
+        best = _smallest(order | np.arange(len(level.names), dtype=np.uint64), first[some], behind[some])
         at = (best & _LOW).astype(np.int64)
-        level_of[own], symbol[own], start[own] = number, level.names[at], level.starts[at]
-        open_ = open_[~some]
-    return level_of, symbol, start
+        longer = length[at] > size[some]
+        at, some = at[longer], some[longer]
+        level_of[some], symbol[some], start[some], size[some] = number, level.names[at], level.starts[at], length[at]
+    return level_of, symbol, start, size
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, ...]:
@@ -141,7 +154,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...]:
     parts = []
     for at in range(0, len(names) - WIDTH + 1, BLOCK):
         own = names[at : at + BLOCK + WIDTH - 1]
-        level, symbol, start = chosen_symbols(own)
+        level, symbol, start, _ = chosen_symbols(own)
         change = (np.diff(start) != 0) | (np.diff(level) != 0)
         first = np.concatenate(([0], np.flatnonzero(change) + 1))
         n = np.diff(np.append(first, len(start)))

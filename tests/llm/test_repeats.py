@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import brute
 import pytest
@@ -116,12 +117,21 @@ def test_equal_windows_choose_equal_symbols():
             before = [rng.choice("abc") for _ in range(rng.randint(0, 30))]
             behind = [rng.choice("abc") for _ in range(rng.randint(0, 30))]
             names = recompression.word_hashes(" ".join(before + window + behind).encode())
-            level, symbol, start = recompression.chosen_symbols(names)
+            level, symbol, start, size = recompression.chosen_symbols(names)
             k = len(before)
-            found.add((int(level[k]), int(symbol[k]), int(start[k]) - k))
+            found.add((int(level[k]), int(symbol[k]), int(start[k]) - k, int(size[k])))
         assert len(found) == 1
 
 
+def test_windows_are_rarely_represented_by_one_word():
+    sizes = Counter()
+    for _, text in brute.documents():
+        names = recompression.word_hashes((text or "").encode())
+        if len(names) >= 20:
+            sizes.update(recompression.chosen_symbols(names)[3].tolist())
+    assert sizes[1] < 0.05 * sizes.total() and max(sizes) <= 20
+
+
 def one_word_everywhere(n: int) -> list[tuple]:
     """Documents whose windows often share one word and little else; some passages recur."""
     rng = random.Random(n)
