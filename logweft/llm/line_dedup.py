@@ -38,6 +38,8 @@ MIN_DOCUMENTS = 5
 SEGMENTS = 64
 BITS_PER_DOCUMENT = 128
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 31
+#: Keys that may be broadcast: 16 bytes and a document number each.
+HOT_KEYS = 1 << 16
 
 _FILTERS: dict[str, list[np.ndarray]] = {}
 
@@ -183,8 +185,16 @@ def repeats(docs: DataFrame, min_chars: int, min_documents: int) -> DataFrame:
 
     rows = materialize(docs.mapInArrow(suspects, f"{DOC} long, key binary"), "line-suspects")
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(DOC).alias("keeper"))
-    repeated = counts.filter(F.col("n") >= min_documents).select("key", "keeper")
-    lost = rows.join(repeated, "key").filter(F.col(DOC) != F.col("keeper"))
+    repeated = materialize(counts.filter(F.col("n") >= min_documents), "repeated-lines")
+    # At most HOT_KEYS keys can hold so many rows each; they are broadcast, and what is
+    # left to shuffle has no more rows of one key than that.
+    hot = F.col("n") > rows.count() // HOT_KEYS
+    common = F.broadcast(repeated.filter(hot).select("key", "keeper"))
+    rare = repeated.filter(~hot).select("key", F.col("keeper").alias("rare_keeper"))
+    marked = rows.join(common, "key", "left")
+    known = marked.filter(F.col("keeper").isNotNull())
+    others = marked.filter(F.col("keeper").isNull()).drop("keeper").join(rare, "key")
+    lost = known.unionByName(others.withColumnRenamed("rare_keeper", "keeper")).filter(F.col(DOC) != F.col("keeper"))
     return lost.groupBy(DOC).agg(F.collect_list("key").alias("keys"))
 
 

@@ -56,8 +56,11 @@ def test_query(spark):
     assert got == want and any(row[2] for row in want)
 
 
+@pytest.mark.parametrize("hot_keys", [1, 4, 1 << 16])
 @pytest.mark.parametrize("rows", [ROWS, []])
-def test_cases(spark, rows):
+def test_cases(spark, rows, hot_keys, monkeypatch):
+    """With no, some and all repeated lines broadcast."""
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", hot_keys)
     docs = identified(brute.frame(spark, rows).drop("_doc").select("doc_id", "text"))
     got = line_dedup.drop_repeated_lines(docs)
     got = got.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(text, 256) AS s")
