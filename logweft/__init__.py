@@ -5,6 +5,7 @@ from .operators.quality import require, validate_files
 from .operators.redact import redact, redact_file
 from .operators.trace import service_chains, trace_correlation, trace_spans
 from .plans.analyze import analyze, analyze_files, compare, compare_files, write_report
+from .plans.deliveries import add_delivery, analyze_store, compact_store, sweep_store, trace_store
 from .plans.demo import generate_demo, write_logs
 from .schema import AnalyzeOptions
 from .session import build_session
@@ -15,9 +16,12 @@ from .sources.tables import records_from_table
 
 __all__ = [
     "AnalyzeOptions",
+    "add_delivery",
     "analyze",
     "analyze_files",
+    "analyze_store",
     "build_session",
+    "compact_store",
     "compare",
     "compare_files",
     "detect_format",
@@ -34,8 +38,10 @@ __all__ = [
     "redact_file",
     "require",
     "service_chains",
+    "sweep_store",
     "trace_correlation",
     "trace_spans",
+    "trace_store",
     "validate_files",
     "write_logs",
     "write_report",

@@ -52,8 +52,13 @@ def error_examples(
     if groups is not None:
         wanted = groups.select("normalized_message")
         keyed = keyed.join(wanted, "normalized_message", "left_semi")
-    firsts = keyed.groupBy("normalized_message", "example").agg(
-        F.min("arrival").alias("first_arrival")
+    return merge_examples(keyed.withColumnRenamed("arrival", "first_arrival"), limit)
+
+
+def merge_examples(examples: DataFrame, limit: int = EXAMPLES_PER_GROUP) -> DataFrame:
+    """The first distinct examples of each group, from those of any parts of the rows."""
+    firsts = examples.groupBy("normalized_message", "example").agg(
+        F.min("first_arrival").alias("first_arrival")
     )
     order = Window.partitionBy("normalized_message").orderBy("first_arrival")
     ranked = firsts.withColumn("example_number", F.row_number().over(order))
@@ -62,6 +67,15 @@ def error_examples(
     )
 
 
+def with_services(groups: DataFrame, services: DataFrame) -> DataFrame:
+    """Add the errors of each group by service as one map, most errors first, then by arrival."""
+    order = F.array_sort(F.collect_list(F.struct(-F.col("count"), "first_arrival", "service", "count")))
+    mapped = services.groupBy("fingerprint").agg(
+        F.map_from_entries(F.transform(order, lambda x: F.struct(x["service"], x["count"]))).alias("services")
+    )
+    return groups.join(mapped, "fingerprint")
+
+
 def with_examples(groups: DataFrame, examples: DataFrame) -> DataFrame:
     """Add the few examples of each group as one array, in order."""
     pairs = F.array_sort(F.collect_list(F.struct("example_number", "example")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import is_error
@@ -50,11 +50,17 @@ def trace_correlation(
     records: DataFrame, correlation_id: str, max_events: int = 1000
 ) -> TraceReport:
     """Trace one correlation ID; ``service_chain`` covers the returned events."""
-    events = events_of(records)
+    malformed = issues_of(records).agg(F.count("*")).scalar()
+    return trace_report(events_of(records), malformed, correlation_id, max_events)
+
+
+def trace_report(
+    events: DataFrame, malformed: Column, correlation_id: str, max_events: int = 1000
+) -> TraceReport:
+    """The same from events, and the number of malformed lines beside them."""
     returned = trace_events(events, correlation_id, max_events)
     hops = F.array_sort(F.collect_list(F.struct(*TRACE_ORDER, "service")))
     matched = filter_correlation(events, correlation_id).agg(F.count("*")).scalar()
-    malformed = issues_of(records).agg(F.count("*")).scalar()
     summary = (
         returned.agg(F.count("*").alias("returned_events"), hops.alias("_hops"))
         .withColumn("matched_events", matched)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ..operators.compare import (
     tag_periods,
 )
 from ..operators.detection import detect_anomalies, detect_bursts
-from ..operators.errors import error_examples, error_groups, services_per_group, with_examples
+from ..operators.errors import error_examples, error_groups, services_per_group, with_examples, with_services
 from ..operators.parse import events_of, issues_of
 from ..operators.quality import anomaly_gate, parse_gate, regression_gate
 from ..operators.summary import (
@@ -74,7 +75,25 @@ def analyze(records: DataFrame, options: AnalyzeOptions | None = None) -> Analys
     records, each reading its own few columns.
     """
     options = options or AnalyzeOptions()
-    cube = materialize(summary_cube(records, options.window_minutes), "cube")
+    events = events_of(records)
+    return report_of(
+        materialize(summary_cube(records, options.window_minutes), "cube"),
+        count_cells(events.where(F.col("correlation_id") != ""), "correlation_id"),
+        lambda groups: error_examples(events, groups),
+        issue_samples(issues_of(records), options.issue_sample_limit),
+        options,
+    )
+
+
+def report_of(
+    cube: DataFrame,
+    correlations: DataFrame,
+    examples: Callable[[DataFrame], DataFrame],
+    samples: DataFrame,
+    options: AnalyzeOptions,
+) -> AnalysisReport:
+    """The report from its parts: stored cells of the cube, cells by correlation ID, the
+    examples of given groups, and the first dead letters."""
     errors = error_cells(cube)
     windows = materialize(window_stats(first_seen_cap(cube, "bucket", options.max_windows)), "windows")
     groups = materialize(
@@ -85,8 +104,6 @@ def analyze(records: DataFrame, options: AnalyzeOptions | None = None) -> Analys
     )
     top_cells = errors.join(groups.select("normalized_message"), "normalized_message", "left_semi")
     services = services_per_group(top_cells)
-    events = events_of(records)
-    correlations = count_cells(events.where(F.col("correlation_id") != ""), "correlation_id")
     summary = summary_counts(cube)
     anomalies = detect_anomalies(windows, options.anomaly_zscore)
     dropped = dropped_count(errors, "normalized_message", options.max_error_groups).select(
@@ -99,7 +116,7 @@ def analyze(records: DataFrame, options: AnalyzeOptions | None = None) -> Analys
         errors_by_service=errors_by_service(
             first_seen_cap(errors, "service", options.max_services), options.top
         ),
-        top_errors=with_examples(groups, error_examples(events, groups)),
+        top_errors=with_examples(with_services(groups, services), examples(groups)),
         top_error_services=services.orderBy("fingerprint", F.desc("count"), "first_arrival"),
         top_correlations=top_k(
             first_seen_cap(correlations, "correlation_id", options.max_correlations),
@@ -110,7 +127,7 @@ def analyze(records: DataFrame, options: AnalyzeOptions | None = None) -> Analys
         bursts=detect_bursts(windows, options.burst_threshold).orderBy("start"),
         anomalies=anomalies.orderBy("start"),
         dropped=dropped,
-        issue_samples=issue_samples(issues_of(records), options.issue_sample_limit),
+        issue_samples=samples,
         gates=parse_gate(summary).unionByName(anomaly_gate(anomalies)),
     )
 

@@ -16,6 +16,7 @@ from logweft.operators.quality import (
 from logweft.operators.redact import redact_file
 from logweft.operators.trace import trace_correlation
 from logweft.plans.analyze import analyze_files, compare_files, write_report
+from logweft.plans.deliveries import add_delivery, analyze_store
 from logweft.plans.demo import generate_demo
 from logweft.schema import AnalyzeOptions
 from logweft.session import build_session
@@ -42,6 +43,10 @@ def parser() -> argparse.ArgumentParser:
     analyze.add_argument("--anomaly-zscore", type=float, default=3.0)
     analyze.add_argument("--fail-on-malformed", action="store_true")
     analyze.add_argument("--fail-on-anomaly", action="store_true")
+    deliver = command("deliver")
+    deliver.add_argument("--store", required=True)
+    deliver.add_argument("--window-minutes", type=int, default=5)
+    deliver.add_argument("--keep-events", action="store_true")
     compare = command("compare")
     compare.add_argument("--current", nargs="+", required=True)
     compare.add_argument("--top", type=int, default=10)
@@ -74,6 +79,10 @@ def run(spark, args: argparse.Namespace) -> None:
         wanted = {"parse-quality": args.fail_on_malformed, "statistical-anomalies": args.fail_on_anomaly}
         chosen = [name for name, on in wanted.items() if on]
         require(report.gates.where(report.gates["gate"].isin(chosen)))
+    elif args.command == "deliver":
+        options = AnalyzeOptions(window_minutes=args.window_minutes, default_timezone=args.default_timezone)
+        add_delivery(spark, args.store, args.paths, options, keep_events=args.keep_events)
+        write_report(analyze_store(spark, args.store, options), args.output)
     elif args.command == "compare":
         report = compare_files(spark, args.paths, args.current, args.default_timezone, args.top)
         write_report(report, args.output)

@@ -17,7 +17,6 @@ from ..functions.timestamps import parse_timestamp
 from ..operators.parse import events_of, issues_of, json_records, plain_records
 from ..operators.quality import validate_records, valid_counts
 from ..operators.summary import issue_counts, issue_samples
-from ..plans.analyze import analyze, write_report
 from ..plans.demo import demo_events, write_logs
 from ..session import new_path
 from ..sources.detect import detect_format
@@ -26,7 +25,6 @@ from ..sources.records import read_records
 from .common import (
     APP,
     app_events,
-    app_records,
     app_rows,
     broken_folder,
     csv_folder,
@@ -37,6 +35,7 @@ from .common import (
     query,
     rendered,
     sql_app,
+    sql_mask,
     table,
     write_lines,
 )
@@ -425,19 +424,40 @@ def dead_letter(spark, sf_dir):
     return read_records(spark, broken_folder(spark, sf_dir), log_format="jsonl").select("arrival", "reason")
 
 
+def _sql_json(*pairs: tuple[str, str]) -> str:
+    """A JSON object of texts that need no escapes."""
+    return "'{' || " + " || ',' || ".join(f"'\"{key}\":\"' || {value} || '\"'" for key, value in pairs)
+
+
+_EXTRA = """ || ',"user_id":' || user_id || ',"Event Type":"' || event_type || '"}'"""
+_ZULU = "iso || 'Z'"
+_LINE = "CASE event_id % 3 " + " ".join(
+    f"{when} {_sql_json(*zip(keys, (_ZULU, level, 'service', 'message', 'correlation_id')))}{_EXTRA}"
+    for when, level, keys in (
+        ("WHEN 0 THEN", "word", ("timestamp", "level", "service", "message", "correlation_id")),
+        ("WHEN 1 THEN", "word", ("@timestamp", "severity", "component", "msg", "trace_id")),
+        ("ELSE", "lower(word)", (" Time ", "Log Level", "App", "Text", "Correlation-ID")),
+    )
+) + " END"
+_BROKEN = f"""
+  CASE event_id % 50 WHEN 0 THEN 'not json from u1@example.test ' || event_id WHEN 1 THEN ''
+    WHEN 2 THEN '[1, 2]' WHEN 3 THEN {_sql_json(("time", _ZULU), ("level", "word"))} || '}}'
+    WHEN 4 THEN {_sql_json(("time", _ZULU), ("level", "'NOTICE'"), ("service", "service"), ("message", "message"))} || '}}'
+    WHEN 5 THEN {_sql_json(("time", "'yesterday'"), ("level", "word"), ("service", "service"), ("message", "message"))} || '}}'
+    WHEN 6 THEN {_sql_json(("time", _ZULU), ("level", "word"), ("service", "repeat('s', 201)"), ("message", "message"))} || '}}'
+    WHEN 7 THEN {_LINE} || ' trailing' END"""
+
+
 @query(
     "issue_preview",
     sql_app(
-        "SELECT arrival, 'not json from [REDACTED_EMAIL] ' || event_id AS preview FROM app "
-        "WHERE event_id % 50 = 0 UNION ALL SELECT arrival, '[1, 2]' FROM app WHERE event_id % 50 = 2"
+        f"SELECT arrival, {sql_mask('line')} AS preview FROM "
+        f"(SELECT arrival, left({_BROKEN}, 240) AS line FROM app) WHERE line IS NOT NULL"
     ),
 )
 def issue_preview(spark, sf_dir):
     issues = issues_of(read_records(spark, broken_folder(spark, sf_dir), log_format="jsonl"))
-    kind = (F.col("arrival") - 1) % 50
-    return issues.where(kind.isin(0, 2)).select(
-        "arrival", preview_of(F.col("preview")).alias("preview")
-    )
+    return issues.select("arrival", preview_of(F.col("preview")).alias("preview"))
 
 
 @query(
@@ -539,18 +559,6 @@ def validate(spark, sf_dir):
 # Sinks.
 
 
-@query(
-    "write_report_json",
-    sql_app(
-        'SELECT level, count(*) AS "count" FROM app GROUP BY 1',
-    ),
-)
-def write_report_json(spark, sf_dir):
-    target = new_path(spark, "report")
-    write_report(analyze(app_records(spark, sf_dir)), target)
-    return spark.read.schema("level string, count bigint").json(f"{target}/levels")
-
-
 _DRAW = "(CAST('0x' || left(md5('42:{0}:' || event_id), 8) AS BIGINT) / 4294967296.0)"
 
 

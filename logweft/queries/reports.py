@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import caps, cells, compare, detection, errors, quality, summary, trace
 from ..operators.parse import events_of
+from ..plans.analyze import AnalysisReport, write_report
 from ..plans.analyze import analyze as analyze_records
 from ..plans.analyze import compare as compare_records
+from ..plans.deliveries import add_delivery, analyze_store, compact_store, trace_store
 from ..schema import AnalyzeOptions
+from ..session import new_path
 from ..sources.records import read_records
 from .common import (
     BURST_THRESHOLD,
@@ -20,11 +25,16 @@ from .common import (
     ZSCORE,
     app_events,
     app_records,
+    app_rows,
     broken_folder,
     hop_events,
+    json_line,
     periods,
     query,
+    rendered,
     sql_app,
+    sql_mask,
+    write_lines,
 )
 
 
@@ -417,9 +427,7 @@ def trace_all(spark, sf_dir):
 # Reports.
 
 
-@query(
-    "analyze",
-    sql_app(
+_REPORT = sql_app(
         "SELECT 'level' AS section, level AS name, count(*) AS n FROM app GROUP BY 2 "
         "UNION ALL SELECT 'service', service, count(*) FROM app WHERE is_error GROUP BY 2 "
         "UNION ALL SELECT 'error', fingerprint, count(*) FROM errors GROUP BY 2 "
@@ -430,16 +438,26 @@ def trace_all(spark, sf_dir):
         "ORDER BY 3 DESC, min(arrival) LIMIT 10) "
         "UNION ALL SELECT 'window', CAST(start AS VARCHAR), total FROM windows "
         f"UNION ALL SELECT 'burst', CAST(start AS VARCHAR), errors FROM windows WHERE errors >= {BURST_THRESHOLD} "
-        f"UNION ALL SELECT 'anomaly', CAST(start AS VARCHAR), errors FROM ({_ANOMALIES})",
+        f"UNION ALL SELECT 'anomaly', CAST(start AS VARCHAR), errors FROM ({_ANOMALIES}) "
+        "UNION ALL SELECT 'service of error', fingerprint || ' ' || service, count(*) FROM errors "
+        "GROUP BY fingerprint, service "
+        "UNION ALL SELECT 'summary', 'total_lines', count(*) FROM app "
+        "UNION ALL SELECT 'summary', 'malformed_lines', 0 "
+        "UNION ALL SELECT 'summary', 'error_count', count(*) FROM app WHERE is_error "
+        "UNION ALL SELECT 'dropped', 'dropped_error_groups', 0 "
+        "UNION ALL SELECT 'dropped', 'dropped_windows', 0 "
+        "UNION ALL SELECT 'gate', 'parse-quality', 1 "
+        f"UNION ALL SELECT 'gate', 'statistical-anomalies', (count(*) = 0)::BIGINT FROM ({_ANOMALIES})",
         ERRORS,
         WINDOWS,
-    ),
 )
-def analyze(spark, sf_dir):
-    options = AnalyzeOptions(
-        window_minutes=WINDOW_MINUTES, burst_threshold=BURST_THRESHOLD, anomaly_zscore=ZSCORE
-    )
-    report = analyze_records(app_records(spark, sf_dir), options)
+_OPTIONS = AnalyzeOptions(
+    window_minutes=WINDOW_MINUTES, burst_threshold=BURST_THRESHOLD, anomaly_zscore=ZSCORE
+)
+
+
+def report_sections(report: AnalysisReport) -> DataFrame:
+    """The tables of a report in one: section, name and n."""
 
     def section(name: str, rows: DataFrame, key, count) -> DataFrame:
         return rows.select(
@@ -447,7 +465,16 @@ def analyze(spark, sf_dir):
             F.col(count).cast("bigint").alias("n"),
         )
 
+    def row_of(name: str, rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select(
+            F.lit(name).alias("section"),
+            F.explode(F.create_map(*(x for c in columns for x in (F.lit(c), F.col(c).cast("bigint")))))
+            .alias("name", "n"),
+        )
+
     start = F.col("start")
+    services = report.top_errors.select("fingerprint", F.explode("services").alias("service", "count"))
+    gates = report.gates.withColumn("passed", F.col("passed").cast("int"))
     examples = report.top_errors.select(
         "fingerprint", F.posexplode("examples").alias("place", "example")
     ).withColumn("place", F.col("place") + 1)
@@ -462,6 +489,10 @@ def analyze(spark, sf_dir):
         section("window", report.windows, start, "total"),
         section("burst", report.bursts, start, "errors"),
         section("anomaly", report.anomalies, start, "errors"),
+        section("service of error", services, F.concat_ws(" ", "fingerprint", "service"), "count"),
+        row_of("summary", report.summary, "total_lines", "malformed_lines", "error_count"),
+        row_of("dropped", report.dropped, "dropped_error_groups", "dropped_windows"),
+        section("gate", gates, F.col("gate"), "passed"),
     ]
     result = parts[0]
     for part in parts[1:]:
@@ -469,6 +500,66 @@ def analyze(spark, sf_dir):
     return result
 
 
+@query("analyze", _REPORT)
+def analyze(spark, sf_dir):
+    return report_sections(analyze_records(app_records(spark, sf_dir), _OPTIONS))
+
+
+@query("write_report_json", _REPORT)
+def write_report_json(spark, sf_dir):
+    """All tables of the report, as read back from where they were written."""
+    target = new_path(spark, "report")
+    report = analyze_records(app_records(spark, sf_dir), _OPTIONS)
+    write_report(report, target)
+    tables = {field.name: getattr(report, field.name).schema for field in fields(report)}
+    return report_sections(
+        AnalysisReport(**{n: spark.read.schema(s).json(f"{target}/{n}") for n, s in tables.items()})
+    )
+
+
+_STORES: dict[tuple, str] = {}
+
+
+def _store(spark, sf_dir) -> str:
+    """The log in three deliveries, the first two merged before the third. Made once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        store = new_path(spark, "store")
+        total = app_rows(spark, sf_dir).count()
+        for number in range(3):
+
+            def write(rows: DataFrame, folder: str, number: int = number) -> None:
+                third = F.floor(F.col("event_id") * 3 / total)
+                write_lines(json_line())(rows.where(third == number), folder)
+
+            folder = rendered(spark, sf_dir, f"third{number}", write)
+            add_delivery(spark, store, folder, _OPTIONS, "jsonl", keep_events=True)
+            if number == 1:
+                compact_store(spark, store)
+        _STORES[key] = store
+    return _STORES[key]
+
+
+@query("analyze_deliveries", _REPORT)
+def analyze_deliveries(spark, sf_dir):
+    return report_sections(analyze_store(spark, _store(spark, sf_dir), _OPTIONS))
+
+
+@query(
+    "trace_deliveries",
+    sql_app(
+        f"SELECT \"timestamp\", service, level, {sql_mask('message')} AS message, matched_events FROM (SELECT *, "
+        "row_number() OVER (ORDER BY \"timestamp\", arrival) AS place, count(*) OVER () AS matched_events "
+        "FROM app WHERE correlation_id = 'req-7') WHERE place <= 30"
+    ),
+)
+def trace_deliveries(spark, sf_dir):
+    """An ID looked up in a store."""
+    report = trace_store(spark, _store(spark, sf_dir), "req-7", 30)
+    matched = report.summary.select("matched_events").scalar()
+    return report.events.drop("source", "line_number").withColumn("matched_events", matched)
+
+
 @query(
     "quality_gates",
     sql_app(

@@ -12,6 +12,10 @@ def test_commands(spark, tmp_path, plain_log, jsonl_log):
     job("analyze", plain_log, "--output", tmp_path / "a")
     with pytest.raises(RuntimeError, match="1 malformed lines"):
         job("analyze", plain_log, "--output", tmp_path / "b", "--fail-on-malformed")
+    for name, log in (("1", plain_log), ("2", jsonl_log)):
+        job("deliver", log, "--store", tmp_path / "store", "--output", tmp_path / f"s{name}")
+    totals = [spark.read.json(str(tmp_path / f"s{n}" / "summary")).first()["total_lines"] for n in (1, 2)]
+    assert totals == [5, 7]
     job("compare", plain_log, "--current", jsonl_log, "--output", tmp_path / "c")
     job("trace", plain_log, "--correlation-id", "shift-9", "--output", tmp_path / "t")
     with pytest.raises(RuntimeError, match="not found"):

@@ -16,6 +16,8 @@ QUICK = [
     "compare_untruncated",
     "service_chain",
     "mask_text",
+    "issue_preview",
+    "normalize_documents",
     "fingerprint_message",
     "parse_ts_iso",
     "table_adapter",
