@@ -183,8 +183,29 @@ def earlier_windows(rows: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray,
     return record[chosen], window[chosen]
 
 
+def suspected(rows: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The parts of ``strings`` with all windows whose hash another window has: the record of
+    each part, the windows left out before it, its bytes. Equal windows have equal hashes, so
+    what is left out equals nothing; equal hashes prove nothing, the suffix array decides."""
+    n = rows["n"].astype(np.int64)
+    sizes = np.array([len(x) for x in strings])
+    prefix = prefix_hashes(_BYTES[np.frombuffer(b"".join(strings), np.uint8)])
+    owner = np.repeat(np.arange(len(strings)), n)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    start = inside + (np.cumsum(sizes) - sizes)[owner]
+    _, which, times = np.unique(span_hashes(prefix, start, start + WIDTH), return_inverse=True, return_counts=True)
+    at = np.flatnonzero(times[which] > 1)
+    if not len(at):
+        return at, at, []
+    # A gap shorter than a window costs less than another part.
+    new = np.concatenate(([True], (owner[at][1:] != owner[at][:-1]) | (np.diff(inside[at]) > WIDTH)))
+    last = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
+    parent, low, high = owner[at[new]], inside[at[new]], inside[last]
+    return parent, low, [strings[i][a : b + WIDTH] for i, a, b in zip(parent.tolist(), low.tolist(), high.tolist(), strict=True)]
+
+
 def resolve(rows: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts of whole keys, each with its own suffix array."""
+    """Windows of whole keys that occur earlier, by suffix arrays over what may be repeated."""
     order = np.argsort(rows["key"], kind="stable")
     keys = rows["key"][order]
     # A window by itself under its key equals no other.
@@ -194,15 +215,20 @@ def resolve(rows: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys = rows["key"][order]
     bounds = np.concatenate((np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), [len(order)]))
-    records, windows, at = [], [], 0
+    records, windows, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while at < len(bounds) - 1:
         stop, total = at, 0
         while stop < len(bounds) - 1 and (stop == at or total < TEXT):
             total += sum(len(strings[i]) + 1 for i in order[bounds[stop] : bounds[stop + 1]])
             stop += 1
         own = order[bounds[at] : bounds[stop]]
-        record, window = earlier_windows(rows[own], [strings[i] for i in own])
-        records.append(own[record])
-        windows.append(window)
+        parent, skipped, parts = suspected(rows[own], [strings[i] for i in own])
+        if len(parts):
+            chosen = rows[own][parent]
+            chosen["first"] += skipped
+            chosen["n"] = [len(x) - WIDTH + 1 for x in parts]
+            record, window = earlier_windows(chosen, parts)
+            records.append(own[parent[record]])
+            windows.append(window + skipped[record])
         at = stop
     return np.concatenate(records), np.concatenate(windows)

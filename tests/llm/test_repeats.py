@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,32 @@ def test_bytes_of_wide_keys(spark, sample, monkeypatch):
     got = suffix_dedup.remove_repeated_bytes(brute.frame(spark, rows))
     got = got.selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) AS kept_sha256")
     assert brute.collected(got, *BYTES) == plain_bytes(rows)
+
+
+def test_arrays_over_repeats_only():
+    """Leaving out windows of their own hash changes nothing, wherever the repeats lie."""
+    rng = random.Random(3)
+    width = suffix_groups.WIDTH
+    letters = lambda n: bytes(rng.choice(b"abcdefgh\xff\0") for _ in range(n))
+    passages = [letters(n) for n in (width, width + 1, 180, 400)]
+    strings = [letters(150), letters(width)]
+    for _ in range(12):
+        strings.append(b"".join(x for p in rng.sample(passages, 3) for x in (letters(rng.choice((0, 5, width, 2 * width + 7))), p)))
+    strings += [passages[0], strings[4]]
+    rows = np.zeros(len(strings), repeats.RECORD)
+    rows["key"] = [1 + i % 2 for i in range(len(strings))]
+    rows["doc"] = [7 * i % 5 for i in range(len(strings))]
+    rows["first"] = [1000 * i for i in range(len(strings))]
+    rows["n"] = [len(x) - width + 1 for x in strings]
+    for key in (1, 2):
+        own = np.flatnonzero(rows["key"] == key)
+        at: dict = {}
+        for i in own:
+            for w in range(rows["n"][i]):
+                at.setdefault(strings[i][w : w + width], []).append((rows["doc"][i], rows["first"][i] + w, i, w))
+        want = {place[2:] for places in at.values() for place in sorted(places)[1:]}
+        record, window = suffix_groups.resolve(rows[own], [strings[i] for i in own])
+        assert want and {(own[r], w) for r, w in zip(record, window)} == want
+        assert len(record) == len(want)
+        *_, parts = suffix_groups.suspected(rows[own], [strings[i] for i in own])
+        assert sum(map(len, parts)) < sum(len(strings[i]) for i in own)
