@@ -14,7 +14,8 @@ windows have equal keys, so:
 3. What is covered is gathered per document and applied to its text.
 
 Records travel as packed columns, bucketed by key. No step needs more memory than one
-bucket, and the number of buckets follows the session's shuffle partitions.
+bucket. The number of buckets follows the session's shuffle partitions, and in step 2 also
+the symbols that are left to compare, as every task sends a packet to nearly every bucket.
 
 A wide key, one with more than ``limit`` symbols under it, is not gathered. Its records are
 dealt by group in step 1, and in step 2 cut into single windows, whose key is a hash of the
@@ -39,6 +40,8 @@ from .common import DOC, materialize, partitions, slices
 
 RECORD = np.dtype([("key", "<u8"), ("group", "<u8"), ("doc", "<i8"), ("first", "<i8"), ("n", "<i4"), ("off", "<i4")])
 BUCKETS_PER_TASK = 8
+#: Symbols that are worth a bucket of their own when windows are compared.
+BUCKET_SYMBOLS = 1 << 20
 ROWS = f"{DOC} long, start long, n int, off int, key long, wide boolean"
 #: Documents, and characters of each, in which wide keys are looked for, and the least groups there.
 SAMPLE = 4000
@@ -255,6 +258,10 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
     sent = docs.select(DOC, "text").mapInArrow(records, "bucket int, copies int, data binary")
     by_bucket = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     settled = materialize(by_bucket.mapInArrow(settle, ROWS), "settled")
+    left = settled.filter(F.col("key").isNotNull())
+    symbols = F.when(F.col("wide"), F.col("n").cast("long") * width).otherwise(F.col("n").cast("long") + width)
+    volume = left.agg(F.sum(symbols).alias("symbols")).first()["symbols"] or 0
+    n_compared = min(n_buckets, 1 + volume // BUCKET_SYMBOLS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -274,11 +281,11 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
                 payloads += windows.payloads(text, own)
             rows = np.concatenate([np.empty(0, RECORD), *parts])
             known = _again(rows, payloads, np.concatenate([np.empty(0, bool), *alone]))
-            bucket = (rows["key"] % np.uint64(n_buckets)).astype(np.int64)
+            bucket = (rows["key"] % np.uint64(n_compared)).astype(np.int64)
             out = []
             if known.any():
                 # Already known to be covered; any bucket may carry them.
-                spread = mix(rows["doc"][known][:1].astype(np.uint64))[0] % np.uint64(n_buckets)
+                spread = mix(rows["doc"][known][:1].astype(np.uint64))[0] % np.uint64(n_compared)
                 out.append((int(spread), _pack(rows[known]), None, None))
             for k in np.unique(bucket[~known]):
                 here = np.flatnonzero((bucket == k) & ~known)
@@ -312,7 +319,7 @@ def covered(docs: DataFrame, windows: Windows) -> DataFrame:
             starts = rows["first"][record] + window
             yield _spans(rows["doc"][record], starts, starts + width)
 
-    open_ = settled.filter(F.col("key").isNotNull()).groupBy(DOC).agg(
+    open_ = left.groupBy(DOC).agg(
         F.collect_list(F.struct("start", "n", "off", "key", "wide")).alias("wanted")
     )
     contexts = docs.select(DOC, "text").join(open_, DOC).select(DOC, "text", "wanted")
