@@ -3,19 +3,23 @@
 Base rules look at one text: its words, symbols, repeated lines and repeated windows of
 eight words. On top, documents whose statistics are far from all others of the same
 language and source are rejected. Location and scatter of a group come from the minimum
-covariance determinant: from coordinate-wise medians and spreads, concentration steps
-take the ``CORE`` share of rows with the smallest distances and compute mean and
-covariance again (P. Rousseeuw, K. Van Driessen, 1999). A row is rejected if its squared
-Mahalanobis distance is over ``LIMIT``.
+covariance determinant (P. Rousseeuw, K. Van Driessen, 1999), in its regularized form
+(K. Boudt and others, 2020): concentration steps take the ``CORE`` share of rows with the
+smallest distances and compute mean and covariance again, until no determinant changes any
+more or for ``STEPS`` steps. They begin twice, with spreads of each statistic by itself and
+with the covariance of spatial signs; of both ends, that with the smaller determinant
+counts. A row is rejected if its squared Mahalanobis distance is over ``LIMIT``.
 
 Quantiles come from counts of fine bins, combined on the map side, so a group that holds
 a third of all rows is never gathered. Spreads have a floor (``FLOORS``): most clean
 texts have no symbol and no repeat at all, and a single one is no outlier.
 
-Every row that passes the base rules is judged. A group with fewer than ``LEAST_ROWS`` rows
-has too little to estimate from: its rows are judged by the estimate over all rows of the
-language, and those of a language with too few rows by the estimate over all rows, however
-few these are. A language or source that is null is a group of its own.
+Every row that passes the base rules is judged by the estimate of its own language and
+source. As a few rows tell little, ``PRIOR`` rows like those of the language count beside
+the group's own in mean and covariance, and ``PRIOR`` rows like all beside those of a
+language: an estimate moves from the common one to the group's own as the group grows,
+without a size at which the rule changes. A language or source that is null is a group of
+its own.
 
 Cases: null and empty texts have no words and fail the base rules; repeated rows and rows
 without ID are rows like others (see ``common.identified``); an empty table gives no row;
@@ -39,8 +43,11 @@ LEAST_WORDS = 20
 REPEAT_PERCENT = 30
 #: Share of rows that the estimates rest on, and the steps.
 CORE = 0.75
-STEPS = 3
-LEAST_ROWS = 200
+STEPS = 6
+#: The core is stable when no logarithm of a determinant changes by more.
+STABLE = 1e-6
+#: Rows of the wider group that count beside a group's own.
+PRIOR = 100
 #: Bins of one quantile: this many to a unit.
 BINS = 64
 #: Smallest standard deviation of each statistic.
@@ -54,6 +61,12 @@ CONSISTENCY = 1.46
 OWN = ("g_lang", "g_source")
 #: What an estimate is made over: a language and source, a language (1) or all rows (2).
 GROUP = ("g_level", *OWN)
+#: One of the two estimates of each.
+STARTED = (*GROUP, "g_start")
+PAIRS = [(i, j) for i in range(len(STATISTICS)) for j in range(i + 1)]
+MEANS = [f"m_{i}" for i in range(len(STATISTICS))]
+SCATTER = [f"c_{i}_{j}" for i, j in PAIRS]
+FACTORS = [f"l_{i}_{j}" for i, j in PAIRS]
 
 
 def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -157,26 +170,43 @@ def _distance(prefix: str = "") -> Column:
     return total
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance of each group; floors are added to the
-    variances, so the factor always exists."""
-    n = len(STATISTICS)
-    sums = [F.avg(name).alias(f"m_{i}") for i, name in enumerate(STATISTICS)]
-    sums += [
-        F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)
+def _factored(estimates: DataFrame) -> DataFrame:
+    """Cholesky factor and ``log_det`` of the scatter ``c_i_j`` of each estimate; floors are
+    added to the variances, so the factor always exists."""
+    out = estimates
+    for i, j in PAIRS:
+        value = F.col(f"c_{i}_{j}")
+        if i == j:
+            value = value + FLOORS[i] ** 2
+        for k in range(j):
+            value = value - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+        out = out.withColumn(f"l_{i}_{j}", F.sqrt(value) if i == j else value / F.col(f"l_{j}_{j}"))
+    log_det = 2 * sum((F.log(F.col(f"l_{i}_{i}")) for i in range(len(STATISTICS))), F.lit(0.0))
+    return out.select(*STARTED, *MEANS, *FACTORS, log_det.alias("log_det"))
+
+
+def _shrunk(own: DataFrame, wider: DataFrame, on: list[str]) -> DataFrame:
+    """Means and scatter of groups with ``PRIOR`` rows of the wider group ``on`` counted in."""
+    values = [*MEANS, *SCATTER]
+    wider = wider.select(*on, *(F.col(c).alias(f"wider_{c}") for c in values))
+    share = F.col("n") / (F.col("n") + F.lit(float(PRIOR)))
+    return lookup_join(own, wider, on, F.col("g_source")).select(
+        *STARTED, *((share * F.col(c) + (1 - share) * F.col(f"wider_{c}")).alias(c) for c in values)
+    )
+
+
+def _estimate(core: DataFrame) -> DataFrame:
+    """The next estimates, from the rows of the core."""
+    means = [F.avg(name).alias(m) for m, name in zip(MEANS, STATISTICS, strict=True)]
+    scatter = [
+        (F.covar_pop(STATISTICS[i], STATISTICS[j]) * CONSISTENCY).alias(c) for c, (i, j) in zip(SCATTER, PAIRS, strict=True)
     ]
-    out = rows.groupBy(*GROUP).agg(*sums)
-    for i in range(n):
-        for j in range(i + 1):
-            value = F.col(f"c_{i}_{j}") * CONSISTENCY
-            if i == j:
-                value = value + FLOORS[i] ** 2
-            for k in range(j):
-                value = value - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            value = F.sqrt(value) if i == j else value / F.col(f"l_{j}_{j}")
-            out = out.withColumn(f"l_{i}_{j}", value)
-    factors = [f"l_{i}_{j}" for i in range(n) for j in range(i + 1)]
-    return materialize(out.select(*GROUP, *(f"m_{i}" for i in range(n)), *factors), "estimates")
+    raw = materialize(core.groupBy(*STARTED).agg(F.count(F.lit(1)).alias("n"), *means, *scatter), "cores")
+    level = F.col("g_level")
+    whole = raw.filter(level == 2).select(*STARTED, *MEANS, *SCATTER)
+    langs = materialize(_shrunk(raw.filter(level == 1), whole, ["g_start"]), "languages")
+    groups = _shrunk(raw.filter(level == 0), langs, ["g_lang", "g_start"])
+    return materialize(_factored(whole.unionByName(langs).unionByName(groups)), "estimates")
 
 
 def _at_level(level: Column) -> list[Column]:
@@ -188,58 +218,70 @@ def _at_level(level: Column) -> list[Column]:
     ]
 
 
-def _levels(rows: DataFrame) -> DataFrame:
-    """For each language and source the ``level`` that judges its rows, and those that its
-    rows ``feed``: a level is estimated only if it judges any row, but then over all its rows."""
-    sizes = materialize(rows.groupBy(*OWN).agg(F.count(F.lit(1)).alias("rows")), "groups")
-    langs = materialize(
-        sizes.groupBy("g_lang").agg(F.sum("rows").alias("lang_rows"), F.min("rows").alias("least_rows")), "languages"
+def _starts(rows: DataFrame) -> DataFrame:
+    """The two first estimates of each group, both about the medians."""
+    medians = materialize(_spread_out(_quantile(_by_statistic(rows, [F.col(s) for s in STATISTICS]), [*GROUP, "k"], 0.5), "m"), "medians")
+    apart = [F.abs(F.col(s) - F.col(m)) for m, s in zip(MEANS, STATISTICS, strict=True)]
+    spreads = _spread_out(_quantile(_by_statistic(_with(rows, medians), apart), [*GROUP, "k"], 0.5), "s")
+    n = range(len(STATISTICS))
+    scales = materialize(
+        medians.join(spreads, list(GROUP)).select(
+            *GROUP, *MEANS, *(F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(FLOORS[i])).alias(f"s_{i}") for i in n)
+        ),
+        "scales",
     )
-    short = bool(langs.filter(F.col("lang_rows") < LEAST_ROWS).limit(1).collect())
-    large, enough = F.col("rows") >= LEAST_ROWS, F.col("lang_rows") >= LEAST_ROWS
-    feeds = F.array(
-        F.when(large, F.lit(0)),
-        F.when(enough & (F.col("least_rows") < LEAST_ROWS), F.lit(1)),
-        F.lit(2 if short else None).cast("int"),
+    alone = scales.select(
+        *GROUP,
+        F.lit(0).alias("g_start"),
+        *MEANS,
+        *((F.col(f"s_{i}") if i == j else F.lit(0.0)).alias(l) for l, (i, j) in zip(FACTORS, PAIRS, strict=True)),
+        (2 * sum((F.log(F.col(f"s_{i}")) for i in n), F.lit(0.0))).alias("log_det"),
     )
-    return materialize(
-        lookup_join(sizes, langs, ["g_lang"], F.col("g_source")).select(
-            *OWN,
-            F.when(large, 0).when(enough, 1).otherwise(2).alias("level"),
-            F.filter(feeds, lambda x: x.isNotNull()).alias("feeds"),
+    # Signs: each row as a direction, so that none counts more for being far away.
+    scaled = _with(rows, scales).select(*GROUP, *((F.col(s) - F.col(MEANS[i])) / F.col(f"s_{i}") for i, s in enumerate(STATISTICS)))
+    scaled = scaled.toDF(*GROUP, *(f"z_{i}" for i in n))
+    size = F.greatest(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in n), F.lit(0.0)), F.lit(1e-12))
+    signs = scaled.withColumn("size", size).groupBy(*GROUP).agg(
+        *(F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / F.col("size")).alias(c) for c, (i, j) in zip(SCATTER, PAIRS, strict=True))
+    )
+    together = scales.join(signs, list(GROUP)).select(
+        *GROUP,
+        F.lit(1).alias("g_start"),
+        *MEANS,
+        *(
+            (len(STATISTICS) * F.col(c) * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(c)
+            for c, (i, j) in zip(SCATTER, PAIRS, strict=True)
         ),
-        "levels",
     )
+    return materialize(alone.unionByName(_factored(together)), "starts")
+
+
+def _change(estimate: DataFrame, before: DataFrame) -> float:
+    """The largest change of the logarithm of a determinant."""
+    old = before.select(*STARTED, F.col("log_det").alias("old"))
+    return estimate.join(old, list(STARTED)).agg(F.max(F.abs(F.col("log_det") - F.col("old"))).alias("x")).first()["x"] or 0.0
 
 
 def outliers(rows: DataFrame) -> DataFrame:
     """``_doc`` and ``distance`` of all rows."""
-    leveled = lookup_join(rows, _levels(rows), list(OWN), F.col(DOC))
-    judged = leveled.select(DOC, *_at_level(F.col("level")), *STATISTICS)
-    rows = leveled.select(DOC, *OWN, *STATISTICS, F.explode("feeds").alias("level"))
+    judged = rows.select(DOC, *_at_level(F.lit(0)), *STATISTICS)
+    levels = F.explode(F.array(*(F.lit(level) for level in range(3))))
+    rows = rows.select(DOC, *OWN, *STATISTICS, levels.alias("level"))
     rows = rows.select(DOC, *_at_level(F.col("level")), *STATISTICS)
-    n = range(len(STATISTICS))
-    medians = materialize(_spread_out(_quantile(_by_statistic(rows, [F.col(s) for s in STATISTICS]), [*GROUP, "k"], 0.5), "m"), "medians")
-    apart = [F.abs(F.col(s) - F.col(f"m_{k}")) for k, s in enumerate(STATISTICS)]
-    spreads = _spread_out(_quantile(_by_statistic(_with(rows, medians), apart), [*GROUP, "k"], 0.5), "s")
-    # The first distances: statistics by themselves, as if uncorrelated.
-    estimate = medians.join(spreads, list(GROUP)).select(
-        *GROUP,
-        *(f"m_{i}" for i in n),
-        *(
-            (F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}")
-            for i in n
-            for j in range(i + 1)
-        ),
-    )
-    estimate = materialize(estimate, "spreads")
+    estimate = _starts(rows)
     for _ in range(STEPS):
         # Roots of distances: their bins are fine where the core ends.
-        measured = _with(rows, estimate).select(DOC, *GROUP, *STATISTICS, F.sqrt(_distance()).alias("d"))
-        edge = _quantile(measured.withColumn("bin", F.floor(F.col("d") * BINS)), list(GROUP), CORE)
-        core = _with(measured, materialize(edge, "edges-of-core")).filter(F.col("d") < F.col("value"))
-        estimate = _estimate(core)
-    return _with(judged, estimate).select(DOC, _distance().alias("distance"))
+        measured = _with(rows, estimate).select(DOC, *STARTED, *STATISTICS, F.sqrt(_distance()).alias("d"))
+        edge = _quantile(measured.withColumn("bin", F.floor(F.col("d") * BINS)), list(STARTED), CORE)
+        edge = materialize(edge, "edges-of-core")
+        core = lookup_join(measured, edge, list(STARTED), F.col(DOC)).filter(F.col("d") < F.col("value"))
+        before, estimate = estimate, _estimate(core)
+        if _change(estimate, before) <= STABLE:
+            break
+    own = estimate.filter(F.col("g_level") == 0)
+    best = own.groupBy(*GROUP).agg(F.min_by(F.struct(*MEANS, *FACTORS), F.struct("log_det", "g_start")).alias("best"))
+    best = materialize(best.select(*GROUP, "best.*"), "best-estimates")
+    return _with(judged, best).select(DOC, _distance().alias("distance"))
 
 
 def quality(docs: DataFrame, limit: float = LIMIT) -> DataFrame:

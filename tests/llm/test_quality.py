@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
 
 import brute
 import numpy as np
@@ -61,38 +60,62 @@ def binned(x: np.ndarray, share: float) -> np.ndarray:
     return (bins[int(np.ceil(share * len(x))) - 1] + 1) / quality.BINS
 
 
-def reference_distances(x: np.ndarray, quantile=lambda x, share: np.quantile(x, share, axis=0)) -> np.ndarray:
-    """The same estimate in numpy, with exact medians and quantiles if not told otherwise."""
-    floors = np.array(quality.FLOORS)
-    middle = quantile(x, 0.5)
-    scale = np.maximum(1.4826 * quantile(np.abs(x - middle), 0.5), floors)
-    d = (((x - middle) / scale) ** 2).sum(axis=1)
+def exact(x: np.ndarray, share: float) -> np.ndarray:
+    return np.quantile(x, share, axis=0)
+
+
+def squared(x: np.ndarray, middle: np.ndarray, scatter: np.ndarray) -> np.ndarray:
+    apart = x - middle
+    return (apart @ np.linalg.inv(scatter) * apart).sum(axis=1)
+
+
+def reference_distances(x: np.ndarray, keys: list[tuple], quantile=exact) -> np.ndarray:
+    """The same estimates in numpy, by language and source (``keys``), with exact medians and
+    quantiles if not told otherwise."""
+    floors = np.diag(np.array(quality.FLOORS) ** 2)
+    groups = {k: np.array([own[: len(k)] == k for own in keys]) for k in {own[:n] for own in keys for n in range(3)}}
+    now = {}
+    for k, mine in groups.items():
+        middle = quantile(x[mine], 0.5)
+        scale = np.maximum(1.4826 * quantile(np.abs(x[mine] - middle), 0.5), quality.FLOORS)
+        z = (x[mine] - middle) / scale
+        signs = (z.T @ (z / np.maximum((z**2).sum(axis=1), 1e-12)[:, None])) / len(z)
+        now[k, 0] = middle, np.diag(scale**2)
+        now[k, 1] = middle, len(floors) * signs * np.outer(scale, scale) + floors
+    log_det = lambda scatter: np.linalg.slogdet(scatter)[1]
     for _ in range(quality.STEPS):
-        core = x[np.sqrt(d) < quantile(np.sqrt(d), quality.CORE)]
-        scatter = np.cov(core.T, bias=True) * quality.CONSISTENCY + np.diag(floors**2)
-        apart = x - core.mean(axis=0)
-        d = (apart @ np.linalg.inv(scatter) * apart).sum(axis=1)
-    return d
+        before, bare = now, {}
+        for k, start in sorted(now, key=lambda y: (len(y[0]), y[1])):
+            mine = x[groups[k]]
+            d = np.sqrt(squared(mine, *now[k, start]))
+            core = mine[d < quantile(d, quality.CORE)] if quantile is binned else mine[d <= quantile(d, quality.CORE)]
+            middle, scatter = core.mean(axis=0), np.cov(core.T, bias=True) * quality.CONSISTENCY
+            if k:
+                share = len(core) / (len(core) + quality.PRIOR)
+                wider = bare[k[:-1], start]
+                middle, scatter = share * middle + (1 - share) * wider[0], share * scatter + (1 - share) * wider[1]
+            bare[k, start] = middle, scatter
+        now = {key: (middle, scatter + floors) for key, (middle, scatter) in bare.items()}
+        if max(abs(log_det(now[key][1]) - log_det(before[key][1])) for key in now) <= quality.STABLE:
+            break
+    out = np.empty(len(x))
+    for k in {tuple(own) for own in keys}:
+        start = min((0, 1), key=lambda start: (log_det(now[k, start][1]), start))
+        out[groups[k]] = squared(x[groups[k]], *now[k, start])
+    return out
 
 
 def plain_kept(rows) -> dict:
-    """Whether each document (ID, text, language, source) stays, with the estimate of its
-    language and source, of its language, or of all rows: the first with enough rows."""
+    """Whether each document (ID, text, language, source) stays."""
     kept, judged = {}, []
     for (doc_id, text, lang, source), own in ((r, plain([r[:2]])[0]) for r in rows):
         kept[doc_id] = not own[-1]
         if not own[-1]:
             _, n, chars, symbols, lines, repeated, _ = own
             x = (np.log1p(n), np.log1p(chars / n), (symbols / len(text)) ** 0.5, np.log1p(lines), (repeated / n) ** 0.5)
-            judged.append((doc_id, ((lang, source), (lang,), ()), x))
-    sizes = Counter(key for _, keys, _ in judged for key in keys)
-    distances = {
-        key: dict(zip(own, reference_distances(np.array([x for _, keys, x in judged if key in keys]), binned), strict=True))
-        for key in {next((k for k in keys if sizes[k] >= quality.LEAST_ROWS), ()) for _, keys, _ in judged}
-        for own in [[i for i, keys, _ in judged if key in keys]]
-    }
-    for doc_id, keys, _ in judged:
-        d = distances[next((k for k in keys if sizes[k] >= quality.LEAST_ROWS), ())][doc_id]
+            judged.append((doc_id, (lang, source), x))
+    ids, keys, x = zip(*judged)
+    for doc_id, d in zip(ids, reference_distances(np.array(x), list(keys), binned), strict=True):
         kept[doc_id] = bool(d <= quality.LIMIT)
     return kept
 
@@ -118,7 +141,7 @@ def test_outliers(spark, monkeypatch):
             for r in stats.collect()
         ]
     )
-    want = reference_distances(x)
+    want = reference_distances(x, [("en", "s")] * len(x))
     mine = np.array([got[i]["distance"] for i in ids])
     assert np.corrcoef(want, mine)[0, 1] > 0.999 and (np.abs(mine - want) < 0.1 + 0.1 * want).all()
 
@@ -144,3 +167,22 @@ def test_small_groups_are_judged(spark, n_clean, monkeypatch):
     got = {r["doc_id"]: r for r in QUERIES["op9_quality_rules"](spark, "").collect()}
     assert len(got) == len(rows) and all(r["distance"] is not None for r in got.values())
     assert {i for i, r in got.items() if not r["kept"]} == {2000 + k for k in range(len(small))}
+
+
+def test_estimates_of_groups(spark):
+    """Groups of any size agree with numpy, row by row; a group of one row has an estimate, too."""
+    rng = np.random.default_rng(5)
+    keys, parts = [], []
+    for k, (lang, source, n) in enumerate([("en", "a", 260), ("en", "b", 40), ("fr", "a", 199), ("fr", "c", 200), ("xx", "a", 1), ("xx", "b", 2)]):
+        mixed = rng.normal(size=(n, 5)) @ rng.normal(size=(5, 5)) * 0.3 + rng.normal(size=5)
+        mixed[: n // 10] += 6
+        parts.append(np.abs(mixed) if k % 2 else mixed)
+        keys += [(lang, source)] * n
+    x = np.concatenate(parts)
+    columns = ", ".join(f"{c} double" for c in quality.STATISTICS)
+    rows = [(i, *key, *map(float, own)) for i, (key, own) in enumerate(zip(keys, x))]
+    frame = spark.createDataFrame(rows, f"_doc long, g_lang string, g_source string, {columns}").repartition(3)
+    got = {r["_doc"]: r["distance"] for r in quality.outliers(frame).collect()}
+    want = reference_distances(x, keys, binned)
+    assert len(got) == len(x) and np.allclose([got[i] for i in range(len(x))], want, rtol=1e-6)
+    assert (want[:26] > quality.LIMIT).mean() > 0.5
