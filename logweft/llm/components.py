@@ -29,20 +29,39 @@ def _small_star(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``label``, the smallest node reachable, for all nodes of ``edges``
-    (``a``, ``b``) but those that are the smallest themselves. Stored."""
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is the larger end of one edge at most, and then of no other the smaller."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("larger"), F.lit(0).alias("smaller")).union(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("larger"), F.lit(1).alias("smaller"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("larger").alias("larger"), F.max("smaller").alias("smaller"))
+    return not nodes.agg(F.count_if((F.col("larger") > 0) & (F.col("larger") + F.col("smaller") > 1))).first()[0]
+
+
+def joined(edges: DataFrame, steps: int | None = None) -> DataFrame:
+    """Edges (``a``, ``b``) with the same components as ``edges``, from larger to smaller
+    nodes. After all steps each node but the smallest has one, which leads there; fewer
+    ``steps`` may end before. Stored."""
     edges = edges.filter(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
-    edges = materialize(edges.distinct(), "edges")
-    mark = None
+    stored, taken = None, 0
     while True:
-        before, edges = edges, materialize(_small_star(_large_star(edges)), "stars")
-        forget(before)
-        new = edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
-        if tuple(new) == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        mark = tuple(new)
+        before, stored = stored, materialize(_small_star(_large_star(edges)), "stars")
+        if before is not None:
+            forget(before)
+        edges, taken = stored, taken + 1
+        if taken == steps or _stars(edges):
+            return edges
+
+
+def labels_of(edges: DataFrame) -> DataFrame:
+    """``node`` and ``label`` from edges of ``joined``. Nodes of one label are connected; after
+    all steps, those of a component have one label."""
+    return edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``label``, the smallest node reachable, for all nodes of ``edges``
+    (``a``, ``b``) but those that are the smallest themselves. Stored."""
+    return joined(edges).select(F.col("a").alias("node"), F.col("b").alias("label"))

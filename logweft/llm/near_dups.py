@@ -15,7 +15,9 @@ inside a component need no comparison, so a group of near copies costs about as
 comparisons as it has documents. What is left for the join are documents of different
 components in one list. Shingles that only one of all these documents has bound what it
 can share with any other, and bitmaps of the sets bound how far two of them differ;
-documents and pairs beyond a bound go without a comparison, all others are compared.
+documents and pairs beyond a bound go without a comparison. Each document is compared with
+the nearest of each other component first, which unites most of these; then all pairs that
+are still of different components are compared.
 
 A pair at the limit of 0.75 agrees in 24 of 32 coordinates on average; it is missed if
 fewer than 12 agree: probability 6e-6, and only if no third document links the two.
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from ..session import forget
 from .anchors import BASE, mix, prefix_hashes, span_hashes
 from .common import DOC, blank, documents, identified, materialize, slices
-from .components import components
+from .components import joined, labels_of
 from .recompression import word_hashes
 from .registry import query
 
@@ -166,29 +168,42 @@ def side(signed: DataFrame, x: str) -> DataFrame:
     )
 
 
-def band_pairs(placed: DataFrame, width: int) -> DataFrame:
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` with the ``label`` of their document, itself where ``labels`` has none."""
+    if labels is None:
+        return rows.withColumn("label", F.col(DOC))
+    own = rows.join(labels.withColumnRenamed("node", DOC), DOC, "left")
+    return own.withColumn("label", F.coalesce("label", DOC))
+
+
+def band_pairs(known: DataFrame, labels: DataFrame | None, width: int) -> DataFrame:
     """Pairs (``a``, ``b``) of documents with the one of their pivots that is the most like
     them. Documents that agree in all coordinates of a band make a list, with one pivot.
 
-    ``placed`` has ``_doc``, ``n_shingles``, ``tokens`` and ``label``.
+    ``known`` has ``_doc``, ``n_shingles``, ``tokens`` and ``bits``.
     """
     bands = [[(first + k * (COORDINATES // width)) % COORDINATES for k in range(width)] for first in range(COORDINATES // width)]
     keys = F.array(*(F.xxhash64(F.lit(width), *(F.get("tokens", F.lit(c)) for c in band)) for band in bands))
-    rows = placed.select(DOC, "label", F.explode(keys).alias("key"))
+    rows = labelled(known.select(DOC, "tokens"), labels).select(DOC, "label", F.explode(keys).alias("key"))
     pivot = F.struct(F.xxhash64(DOC, F.lit(width)), DOC, "label")
     pivots = rows.groupBy("key").agg(
         F.max(pivot).alias("pivot"), F.min("label").alias("least"), F.max("label").alias("most")
     ).filter("least < most").select("key", "pivot")
-    met = rows.join(pivots, "key").filter(F.col("label") != F.col("pivot.label")).groupBy(
+    # A document has a row for each band at most, so one shuffle by document serves all
+    # that follows.
+    met = rows.join(pivots, "key").filter(F.col("label") != F.col("pivot.label")).select(
         F.col(DOC).alias("a"), F.col(f"pivot.{DOC}").alias("b")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).repartition("a")
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     # One pivot for each document before signatures are joined: that of the most bands.
     best = met.groupBy("a").agg(F.max(F.struct("n", F.xxhash64("a", "b"), "b")).alias("best")).select("a", "best.b")
-    close = best.join(side(placed, "a"), "a").join(side(placed, "b"), "b")
+    close = best.join(side(known, "a"), "a").join(side(known, "b"), "b")
     return close.filter(possible() & (agreeing() >= MATCHES)).select("a", "b")
 
 
-def remaining_pairs(listed: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
+def remaining_pairs(
+    listed: DataFrame, known: DataFrame, labels: DataFrame | None, texts: DataFrame
+) -> DataFrame:
     """Pairs of documents of different components that can be similar, each one once.
 
     Similar sets share at least 75 / 175 of the sum of their sizes, and no more than
@@ -196,19 +211,19 @@ def remaining_pairs(listed: DataFrame, placed: DataFrame, texts: DataFrame) -> D
     it is taken where that token is the first one common to both, and there the agreeing
     coordinates are counted.
     """
-    labelled = listed.join(placed.select(DOC, "label"), DOC)
-    parts = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    placed = labelled(listed, labels)
+    parts = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     lists = parts.groupBy("token").agg(
         F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts")
     ).filter("parts > 1").select("token", F.col("main.label").alias("main"))
-    rows = materialize(labelled.join(lists, "token"), "lists")
+    rows = materialize(placed.join(lists, "token"), "lists")
     open_ = rows.select(DOC).distinct()
     bounds = shareable(texts.join(open_, DOC, "left_semi"))
     rows = rows.join(bounds, DOC)
     ends = rows.groupBy("token").agg(F.min("n").alias("least_n"), F.max("s").alias("most_s"))
     able = 175 * F.least("s", "most_s") >= 75 * (F.col("n") + F.col("least_n"))
     rows = materialize(
-        rows.join(ends, "token").filter(able).join(placed.select(DOC, "tokens", "bits"), DOC)
+        rows.join(ends, "token").filter(able).join(known.select(DOC, "tokens", "bits"), DOC)
         .select("token", DOC, "label", "main", "n", "s", "before", "tokens", "bits"), "open"
     )
     # Every pair of different components has a side outside the largest one.
@@ -229,14 +244,26 @@ def remaining_pairs(listed: DataFrame, placed: DataFrame, texts: DataFrame) -> D
         & possible()
         & ~F.arrays_overlap("fa", "fb")
         & (agreeing() >= MATCHES),
-    ).select("a", "b")
+    ).select("a", "b", "lb", agreeing().alias("n"))
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Of ``remaining_pairs``, the pair with the most agreeing coordinates of each document
+    and other component."""
+    best = F.max(F.struct("n", F.xxhash64("a", "b"), "b")).alias("best")
+    return pairs.groupBy("a", "lb").agg(best).select("a", "best.b")
 
 
-def confirm(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) whose signatures agree often enough and whose sets are similar."""
-    close = pairs.join(side(signed, "a"), "a").join(side(signed, "b"), "b").filter(
-        possible() & (agreeing() >= MATCHES)
-    ).select("a", "b")
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pairs`` whose documents have different labels."""
+    own = pairs.select("a", "b")
+    for x in ("a", "b"):
+        own = own.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")), x, "left")
+    return own.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sets are similar."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, None
@@ -252,13 +279,25 @@ def confirm(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     joined = (
-        close.join(texts.select(F.col(DOC).alias("a"), F.col("text").alias("text_a")), "a")
+        pairs.join(texts.select(F.col(DOC).alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col(DOC).alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
     return joined.mapInArrow(verify, "a long, b long")
 
 
+def linked(
+    pairs: DataFrame, edges: DataFrame | None, texts: DataFrame, steps: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Edges and labels (see ``components``) with the similar ones of ``pairs`` added."""
+    found = materialize(confirm(pairs, texts), "links")
+    old = [] if edges is None else [edges]
+    new = joined(reduce(DataFrame.union, old, found), steps)
+    for table in [found, *old]:
+        forget(table)
+    return new, labels_of(new)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``_doc``, ``n_shingles`` and ``label``, the smallest document reachable.
 
@@ -280,22 +319,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = materialize(docs.select(DOC, "text").join(posted, DOC, "left_semi"), "candidates")
     known = materialize(signed.select(DOC, "n_shingles", "tokens", "bits").join(posted, DOC, "left_semi"), "candidate-signatures")
     forget(signed)
-    labels = None
-
-    def placed() -> DataFrame:
-        if labels is None:
-            return known.withColumn("label", F.col(DOC))
-        own = known.join(labels.withColumnRenamed("node", DOC), DOC, "left")
-        return own.withColumn("label", F.coalesce("label", DOC))
-
-    for width in (*BAND_WIDTHS, None):
-        pairs = band_pairs(placed(), width) if width else remaining_pairs(listed, placed(), texts)
-        pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
-        found, before = materialize(confirm(pairs, known, texts), "links"), labels
-        old = [] if before is None else [before.select(F.col("node").alias("a"), F.col("label").alias("b"))]
-        labels = components(reduce(DataFrame.union, old, found))
-        for table in [found, *old]:
-            forget(table)
+    edges = labels = None
+    for width in BAND_WIDTHS:
+        # Labels of one step only cost a round some pairs more; the join needs all steps.
+        steps = None if width == BAND_WIDTHS[-1] else 1
+        edges, labels = linked(band_pairs(known, labels, width), edges, texts, steps)
+    pairs = materialize(remaining_pairs(listed, known, labels, texts), "pairs")
+    edges, labels = linked(nearest(pairs), edges, texts)
+    edges, labels = linked(apart(pairs, labels), edges, texts)
+    forget(pairs)
     return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         DOC, "n_shingles", F.coalesce("label", "rep").alias("label")
     )

@@ -8,6 +8,7 @@ import re
 import brute
 import pytest
 
+from logweft.llm import components as components_module
 from logweft.llm import near_dups
 from logweft.llm.common import identified
 from logweft.llm.components import components
@@ -75,3 +76,28 @@ def test_components(spark):
     edges = [(i + 1, i) for i in range(30)] + [(50, 60), (60, 55), (70, 70)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 31)}, 60: 50, 55: 50}
+
+
+def test_steps_end_at_stars(spark, monkeypatch):
+    """Edges that are stars already take one step, and a long path ends as one star."""
+    steps = []
+    stored = components_module.materialize
+    monkeypatch.setattr(components_module, "materialize", lambda df, name: steps.append(name) or stored(df, name))
+    edges = spark.createDataFrame([(1, 0), (2, 0), (5, 4)], "a long, b long")
+    assert {(r["node"], r["label"]) for r in components(edges).collect()} == {(1, 0), (2, 0), (5, 4)}
+    assert len(steps) == 1
+    path = spark.createDataFrame([(i + 1, i) for i in range(30)], "a long, b long")
+    few = components_module.labels_of(components_module.joined(path, 1)).collect()
+    assert {r["label"] for r in few} <= set(range(30)) and len(few) == 30
+    assert {r["label"] for r in components(components_module.joined(path, 1)).collect()} == {0}
+
+
+def test_pairs_after_the_nearest(spark):
+    """A document next to all of a component is compared with one of it, then with none."""
+    pairs = spark.createDataFrame(
+        [(9, b, 0, 12 + b) for b in range(5)] + [(9, 20, 20, 12), (8, 1, 0, 13)], "a long, b long, lb long, n int"
+    )
+    first = {(r["a"], r["b"]) for r in near_dups.nearest(pairs).collect()}
+    assert first == {(9, 4), (9, 20), (8, 1)}
+    labels = spark.createDataFrame([(i, 0) for i in (1, 2, 3, 4, 9)], "node long, label long")
+    assert {(r["a"], r["b"]) for r in near_dups.apart(pairs, labels).collect()} == {(9, 20), (8, 1)}
