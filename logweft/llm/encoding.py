@@ -20,6 +20,9 @@ import numpy as np
 MEMO_UNITS = 1_000_000
 MEMO_LENGTH = 40
 
+#: Units that the library encodes as one text.
+JOINED_UNITS = 16_384
+
 #: Marks the unit at the start of a text. No unit of UTF-8 text begins with it.
 _FIRST = "\udfff"
 
@@ -45,6 +48,10 @@ class Encoder:
         self.near = re.compile(r"^\n|\n$|\s\n|\n\s")
         self.ends = frozenset(",.")
         self.letters = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+        # Tokens that begin with a space, which byte-level BPE writes so.
+        vocabulary = self.tokenizer.get_vocab() if spaced else {}
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         # Without offsets, which nobody reads here.
@@ -58,6 +65,30 @@ class Encoder:
             at = end
         return out
 
+    def _joined(self, units: list[str]) -> list[bytes] | None:
+        """IDs of units that have a space in front and none inside, encoded as one text: each
+        begins where a token begins with a space. Nothing if the tokens tell otherwise."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids)
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(units):
+            return None
+        flat, width = ids.astype(self.kind).tobytes(), int(self.kind[-1])
+        ends = [*(width * starts[1:]).tolist(), len(flat)]
+        return [flat[at:end] for at, end in zip((width * starts).tolist(), ends, strict=True)]
+
+    def _encode_joined(self, missing: set[str]) -> set[str]:
+        """Keep the units that can be encoded as parts of one text; those that can not."""
+        plain = [u for u in missing if u and u[0] != _FIRST and " " not in u and not (u[0].isspace() or u[-1].isspace())]
+        rest = missing.difference(plain)
+        for at in range(0, len(plain), JOINED_UNITS):
+            part = plain[at : at + JOINED_UNITS]
+            found = self._joined(part)
+            if found is None:
+                rest.update(part)
+            else:
+                self.memo.update(zip(part, found, strict=True))
+        return rest
+
     def _units(self, text: str) -> list[str]:
         """The first unit is marked if it has no space before it where others have one."""
         if not self.spaced:
@@ -100,8 +131,9 @@ class Encoder:
         if len(memo) > MEMO_UNITS:
             memo.clear()
         missing = set().union(*units).difference(memo)
-        if missing:
-            whole = {u: self._whole(u) for u in missing}
+        alone = self._encode_joined(missing) if self.spaced else missing
+        if alone:
+            whole = {u: self._whole(u) for u in alone}
             atoms = {u: self._atoms(w) for u, w in whole.items() if w[-1:] in self.ends or "\n" in w}
             fresh = list({w for u, w in whole.items() if u not in atoms}.union(*atoms.values()))
             found = dict(zip(fresh, self._library(fresh), strict=True))

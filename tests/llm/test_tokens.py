@@ -11,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from logweft.llm import packing, token_files
+from logweft.llm.encoding import Encoder
 from logweft.llm.queries import QUERIES
 
 ODD = [
@@ -127,3 +128,24 @@ def test_best_fit():
         assert room == (min(fits) if fits else 64) and rooms.get(window, 64) == room
         rooms[window] = room - int(length)
         tree.put(room - int(length), window)
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_units_go_as_one_text():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" ".join(f"w{i}x{i * 7}," for i in range(2000)), "é\tè a<|endoftext|> b\n\nc. Ġ Ġd \x1cx ü\u3000 y", *(t or "" for _, t in ODD)]
+    tool = Encoder(path, spaced=True)
+    want = [np.array(ids[:-1], "<u4").tobytes() for ids in ids_of(path, texts, 0)]
+    tool.tokenizer = Counted(tool.tokenizer)
+    assert tool.encode(texts) == want and tool.tokenizer.texts < 200
+    assert Encoder(path, spaced=True)._joined(["a", "b c"]) is None
