@@ -133,3 +133,14 @@ def test_sql_functions(spark):
     assert [row["m"]] == apply(spark, mask_text, text)
     assert [row["n"]] == apply(spark, normalize_message, text)
     assert [row["f"]] == apply(spark, fingerprint_message, text)
+
+
+def test_strip_and_filled(spark):
+    from logweft.constants import BLANKS
+    from logweft.functions.text import is_filled, strip
+
+    texts = [None, "", " ", "a", " a", "a ", "　é b ", "é", "a　", "\x7f", "\x1ca\x7f", "a b", "~!", BLANKS, "\x00 "]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    got = rows.select(strip(F.col("x")), is_filled(F.col("x"))).collect()
+    want = [(None, None) if x is None else (x.strip(BLANKS), x.strip(BLANKS) != "") for x in texts]
+    assert [tuple(row) for row in got] == want

@@ -305,3 +305,28 @@ def test_csv_header_missing(spark, tmp_path):
         (3, "required field is missing: message", None), (4, None, "y")]
     only_empty = read_records(spark, paths[0])
     assert [r["reason"] for r in only_empty.collect()] == ["CSV header is missing"]
+
+
+def test_formats_share_text_not_packed_lines(spark, tmp_path, monkeypatch):
+    """After the look each format reads its own files; only lines of CSV files are stored, in
+    pieces that many tasks can read."""
+    from logweft.sources import records as sources
+
+    (tmp_path / "a.out").write_text("".join(f'{{"time": "2025-01-01T00:00:00Z", "level": "INFO", "msg": "m{i}"}}\n' for i in range(5)))
+    (tmp_path / "b 1%.out").write_text("2025-01-01T00:00:00Z ERROR x\n")
+    (tmp_path / "c.csv").write_text("time,level,text\n2025-01-01T00:00:00Z,INFO,t\n")
+    (tmp_path / "d.out").write_text("")
+    stored = []
+    real = sources.materialize
+
+    def spy(df, name, *more):
+        stored.append((name, *more))
+        return real(df, name, *more)
+
+    monkeypatch.setattr(sources, "materialize", spy)
+    folder = str(tmp_path)
+    lines, heads = sources.route_files(spark, [folder], None, sources.list_files(spark, [folder]))
+    counted = {name: sum(part.count() for part in parts) for name, parts in lines.items()}
+    assert counted == {"jsonl": 5, "plain": 1, "csv": 2} and heads.count() == 3
+    assert [name for name, *_ in stored] == ["file-heads", "csv-lines"] and stored[1][1] <= 8 << 20
+    assert sources.read_records(spark, folder).where("reason IS NULL").count() == 7
