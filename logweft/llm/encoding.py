@@ -23,7 +23,7 @@ MEMO_LENGTH = 40
 #: Units that the library encodes as one text.
 JOINED_UNITS = 16_384
 
-#: Marks the unit at the start of a text. No unit of UTF-8 text begins with it.
+#: Marks a unit without a space in front. No unit of UTF-8 text begins with it.
 _FIRST = "\udfff"
 
 _ENCODERS: dict[tuple, "Encoder"] = {}
@@ -45,13 +45,17 @@ class Encoder:
         # A space after white space may belong to the same token as that.
         self.unsafe = re.compile(r"\s ")
         self.cut = re.compile(r"(?<=\S)(?= )")
+        # After anything but a letter, a comma or stop may belong to a longer token, and so may
+        # a line end beside white space.
+        self.loose = re.compile(r"[^A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f][,.][ \n]|\n\s|\s\n|^\n|\n$")
         self.near = re.compile(r"^\n|\n$|\s\n|\n\s")
         self.ends = frozenset(",.")
         self.letters = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-        # Tokens that begin with a space, which byte-level BPE writes so.
-        vocabulary = self.tokenizer.get_vocab() if spaced else {}
-        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.begins[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True
+        # Tokens that begin with a space, which byte-level BPE writes so, or end a word.
+        vocabulary = self.tokenizer.get_vocab()
+        self.edges = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        is_edge = (lambda token: token[:1] == "\u0120") if spaced else (lambda token: token[-4:] == "</w>")
+        self.edges[[i for token, i in vocabulary.items() if is_edge(token)]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         # Without offsets, which nobody reads here.
@@ -66,28 +70,37 @@ class Encoder:
         return out
 
     def _joined(self, units: list[str]) -> list[bytes] | None:
-        """IDs of units that have a space in front and none inside, encoded as one text: each
-        begins where a token begins with a space. Nothing if the tokens tell otherwise."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids)
-        starts = np.flatnonzero(self.begins[ids])
-        if len(starts) != len(units):
+        """IDs of units that ``_is_plain``, encoded as one text: each begins where a token begins
+        with a space, or ends where a token ends a word. Nothing if the tokens tell otherwise."""
+        text = " ".join(units)
+        encoded = self.tokenizer.encode_batch_fast([" " + text if self.spaced else text], add_special_tokens=False)
+        ids = np.array(encoded[0].ids)
+        edges = np.flatnonzero(self.edges[ids])
+        if len(edges) != len(units):
             return None
         flat, width = ids.astype(self.kind).tobytes(), int(self.kind[-1])
-        ends = [*(width * starts[1:]).tolist(), len(flat)]
-        return [flat[at:end] for at, end in zip((width * starts).tolist(), ends, strict=True)]
+        cuts = [*(width * edges).tolist(), len(flat)] if self.spaced else [0, *(width * (edges + 1)).tolist()]
+        return [flat[at:end] for at, end in zip(cuts, cuts[1:])]
 
-    def _encode_joined(self, missing: set[str]) -> set[str]:
-        """Keep the units that can be encoded as parts of one text; those that can not."""
-        plain = [u for u in missing if u and u[0] != _FIRST and " " not in u and not (u[0].isspace() or u[-1].isspace())]
-        rest = missing.difference(plain)
+    def _is_plain(self, unit: str) -> bool:
+        """With a space in front and none inside, or a word of Latin letters alone."""
+        if not self.spaced:
+            return unit.isalpha() and (unit.isascii() or max(unit) < "\u0250")
+        return unit != "" and unit[0] != _FIRST and " " not in unit and not (unit[0].isspace() or unit[-1].isspace())
+
+    def _encoded(self, plain: list[str], others: set[str]) -> dict[str, bytes]:
+        """IDs of units, of plain ones as parts of one text."""
+        rest, out = list(others), {}
         for at in range(0, len(plain), JOINED_UNITS):
             part = plain[at : at + JOINED_UNITS]
-            found = self._joined(part)
-            if found is None:
-                rest.update(part)
+            ids = self._joined(part)
+            if ids is None:
+                rest += part
             else:
-                self.memo.update(zip(part, found, strict=True))
-        return rest
+                out.update(zip(part, ids, strict=True))
+        if rest:
+            out.update(zip(rest, self._library([self._whole(u) for u in rest]), strict=True))
+        return out
 
     def _units(self, text: str) -> list[str]:
         """The first unit is marked if it has no space before it where others have one."""
@@ -100,6 +113,10 @@ class Encoder:
         if self.unsafe.search(text):
             first, *rest = self.cut.split(text)
             return [_FIRST + first, *[x[1:] for x in rest]]
+        if not self.loose.search(text):
+            # Words are the same units with and without a comma, stop or line end behind them.
+            text = text.replace("\n", f" {_FIRST}\n {_FIRST}")
+            text = text.replace(", ", f" {_FIRST}, ").replace(". ", f" {_FIRST}. ")
         units = text.split(" ")
         units[0] = _FIRST + units[0]
         return units
@@ -110,6 +127,12 @@ class Encoder:
             return unit
         return unit[1:] if unit[:1] == _FIRST else " " + unit
 
+    def _named(self, text: str) -> str:
+        """The unit that stands for a text."""
+        if not self.spaced:
+            return text
+        return text[1:] if text[:1] == " " else _FIRST + text
+
     def _atoms(self, unit: str) -> list[str]:
         """Smaller units in ``unit``: line ends between words, a comma or stop at the end."""
         if "\n" not in unit:
@@ -125,23 +148,48 @@ class Encoder:
                 out.append(word)
         return out
 
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """IDs of units that the worker does not know. Those that are not plain may be made of
+        smaller ones, which it often knows, and are put together from them."""
+        plain = [u for u in missing if self._is_plain(u)]
+        made, fresh = {}, set()
+        for unit in missing.difference(plain):
+            parts = self._atoms(self._whole(unit)) if unit[-1:] in self.ends or "\n" in unit else ()
+            if len(parts) > 1:
+                made[unit] = parts = [self._named(x) for x in parts]
+                fresh.update(parts)
+            else:
+                fresh.add(unit)
+        known = {u: ids for u in fresh if (ids := self.memo.get(u)) is not None}
+        fresh.difference_update(known)
+        fresh.difference_update(plain)
+        plain += [u for u in fresh if self._is_plain(u)]
+        known.update(self._encoded(plain, fresh.difference(plain)))
+        known.update((u, b"".join([known[x] for x in parts])) for u, parts in made.items())
+        return known
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        units = [self._units(text) for text in texts]
         memo = self.memo
         if len(memo) > MEMO_UNITS:
             memo.clear()
-        missing = set().union(*units).difference(memo)
-        alone = self._encode_joined(missing) if self.spaced else missing
-        if alone:
-            whole = {u: self._whole(u) for u in alone}
-            atoms = {u: self._atoms(w) for u, w in whole.items() if w[-1:] in self.ends or "\n" in w}
-            fresh = list({w for u, w in whole.items() if u not in atoms}.union(*atoms.values()))
-            found = dict(zip(fresh, self._library(fresh), strict=True))
-            memo.update({u: b"".join([found[a] for a in atoms[u]]) if u in atoms else found[w] for u, w in whole.items()})
-        out = [b"".join(map(memo.__getitem__, row)) for row in units]
-        for unit in missing:
-            if len(unit) > MEMO_LENGTH:
-                memo.pop(unit, None)
+        units, sizes = [], []
+        for text in texts:
+            own = self._units(text)
+            units += own
+            sizes.append(len(own))
+        # One look at the memo for each unit of a text.
+        found = list(map(memo.get, units))
+        gaps = [at for at, ids in enumerate(found) if ids is None]
+        if gaps:
+            wanted = {units[at] for at in gaps}
+            learnt = self._learn(wanted)
+            for at in gaps:
+                found[at] = learnt[units[at]]
+            memo.update({u: learnt[u] for u in wanted if len(u) <= MEMO_LENGTH})
+        out, at = [], 0
+        for size in sizes:
+            out.append(b"".join(found[at : at + size]))
+            at += size
         return out
 
 

@@ -149,3 +149,28 @@ def test_new_units_go_as_one_text():
     tool.tokenizer = Counted(tool.tokenizer)
     assert tool.encode(texts) == want and tool.tokenizer.texts < 200
     assert Encoder(path, spaced=True)._joined(["a", "b c"]) is None
+
+
+def test_known_words_need_no_library():
+    """Commas, stops and line ends do not make new units of known words."""
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = public_tokenizers.path(name)
+        tool = Encoder(path, spaced=spaced)
+        tool.encode(["alpha beta étage gamma\nalpha\nbeta\nétage\ngamma", "alpha, x. x\nalpha"])
+        texts = ["alpha beta, étage. gamma\nbeta.\nalpha gamma, beta", "gamma, alpha.\nétage, beta"]
+        texts.append("9, a!. b ,c ., d,\n\ne. \nf\n g.\n")
+        want = [np.array(ids[:-1], "<u4").tobytes() for ids in ids_of(path, texts, 0)]
+        assert tool.encode(texts) == want
+        tool = Encoder(path, spaced=spaced)
+        tool.encode(["alpha beta étage gamma\nalpha\nbeta\nétage\ngamma", "alpha, x. x\nalpha"])
+        tool.tokenizer = Counted(tool.tokenizer)
+        assert tool.encode(texts[:2]) == want[:2] and tool.tokenizer.texts <= 2
+
+
+def test_latin_words_go_as_one_text():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [" ".join(f"né{a}{b}ü" for a in "abcdefghij" for b in "klmnopqr"), *(t or "" for _, t in ODD)]
+    tool = Encoder(path, spaced=False, width=2)
+    want = [np.array(ids[:-1], "<u2").tobytes() for ids in ids_of(path, texts, 0)]
+    tool.tokenizer = Counted(tool.tokenizer)
+    assert tool.encode(texts) == want and tool.tokenizer.texts < 60
