@@ -20,8 +20,8 @@ import numpy as np
 MEMO_UNITS = 1_000_000
 MEMO_LENGTH = 40
 
-#: Units that the library encodes as one text.
-JOINED_UNITS = 16_384
+#: Units that the library encodes as one text, few enough for what it notes to stay in a cache.
+JOINED_UNITS = 512
 
 #: Marks a unit without a space in front. No unit of UTF-8 text begins with it.
 _FIRST = "\udfff"

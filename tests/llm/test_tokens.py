@@ -172,5 +172,8 @@ def test_latin_words_go_as_one_text():
     texts = [" ".join(f"né{a}{b}ü" for a in "abcdefghij" for b in "klmnopqr"), *(t or "" for _, t in ODD)]
     tool = Encoder(path, spaced=False, width=2)
     want = [np.array(ids[:-1], "<u2").tobytes() for ids in ids_of(path, texts, 0)]
+    assert tool.encode(texts) == want
+    # Odd letters among them make the library read all of them one by one.
+    tool = Encoder(path, spaced=False, width=2)
     tool.tokenizer = Counted(tool.tokenizer)
-    assert tool.encode(texts) == want and tool.tokenizer.texts < 60
+    assert tool.encode(texts[:1]) == want[:1] and tool.tokenizer.texts == 1
