@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EMPTY_MESSAGE, FINGERPRINT_LENGTH, NORMALIZE_RULES
 from .privacy import mask_text
-from .text import blank_to_null, replace_all, starting_with
+from .text import replace_all, starting_with
 
 # Characters a match can start with, tested before the costlier word borders.
 _FIRST = {
@@ -54,7 +54,8 @@ def normalize_masked(masked: Column) -> Column:
     """Normalise a message that is masked already."""
     replaced = reduce(normalize_rule, _RULES, F.lower(masked))
     collapsed = F.trim(replace_all(replaced, r"\s+", " "))
-    return F.coalesce(blank_to_null(collapsed), F.lit(EMPTY_MESSAGE))
+    # Not by a comparison, which would have all rules applied once more.
+    return F.coalesce(F.regexp_replace(collapsed, r"\A\z", EMPTY_MESSAGE), F.lit(EMPTY_MESSAGE))
 
 
 def normalize_message(message: Column) -> Column:

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from logweft.functions.fields import parse_level
+from logweft.functions.fields import extra_fields, extra_keys, parse_level, reversed_keys, with_reversed_keys
 from logweft.functions.normalize import fingerprint_message, normalize_message
 from logweft.functions.privacy import find_sensitive_types, mask_text
 from logweft.functions.timestamps import parse_timestamp
@@ -144,3 +144,34 @@ def test_strip_and_filled(spark):
     got = rows.select(strip(F.col("x")), is_filled(F.col("x"))).collect()
     want = [(None, None) if x is None else (x.strip(BLANKS), x.strip(BLANKS) != "") for x in texts]
     assert [tuple(row) for row in got] == want
+
+
+def test_rules_are_applied_once(spark):
+    """An empty message is told by the rules' result, not by applying them again."""
+    rows = spark.createDataFrame([(" ",), ("Pump 7 of a@b.example",), (None,)], "m string")
+    found = [row["n"] for row in rows.select(normalize_message(F.col("m")).alias("n")).collect()]
+    assert found == ["<empty>", "pump <number> of [redacted_email]", "<empty>"]
+    # As a branch, where the engine does not share equal parts.
+    branch = rows.select(F.when(F.col("m") != "", normalize_message(F.col("m"))).alias("n"))
+    assert branch._jdf.queryExecution().optimizedPlan().toString().count("[REDACTED_IP]") == 1
+
+
+def test_keys_as_one_text(spark):
+    keys = [
+        ["Time", " Log Level ", "a"], [], None, [""], ["", ""], [" "], ["a\x01b", "C"], ["\x01"], ["\xa0Level", "B"],
+        ["\t x y "], ["É Z"], ["tail\n"], ["A  B", " a_b"], ["time", "Time"], ["(x)$1", "\\y"],
+    ]
+    rows = spark.createDataFrame([(k,) for k in keys], "k array<string>")
+    found = with_reversed_keys(rows, F.col("k"), "found").select("k", "found", reversed_keys(F.col("k")).alias("each"))
+    for row in found.collect():
+        assert row["found"] == row["each"], row
+
+
+def test_extra_fields(spark):
+    # Keys as made by ``reversed_keys``: the first of equal ones is the last of the row.
+    rows = spark.createDataFrame(
+        [(["b", "a", "level", "a"], ["1", None, "x", "2"]), (["msg", None], ["1", "2"]), (["z", "y"], ["1"]), (None, None)],
+        "k array<string>, v array<string>",
+    )
+    found = rows.select(extra_fields(extra_keys(F.col("k")), F.col("k"), F.col("v")).alias("f")).collect()
+    assert [row["f"] for row in found] == [{"a": None, "b": "1"}, {}, {"y": None, "z": "1"}, None]
