@@ -43,11 +43,13 @@ class Encoder:
         self.kind = f"<u{width}"
         self.memo: dict[str, bytes] = {}
         # A space after white space may belong to the same token as that.
-        self.unsafe = re.compile(r"\s ")
+        self.unsafe = re.compile(r"[^\S \n] ")
         self.cut = re.compile(r"(?<=\S)(?= )")
         # After anything but a letter, a comma or stop may belong to a longer token, and so may
-        # a line end beside white space.
-        self.loose = re.compile(r"[^A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f][,.][ \n]|\n\s|\s\n|^\n|\n$")
+        # a line end beside white space. Each begins with one rare character, which a search skips to.
+        letters = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+        marks = [rf"{mark}[ \n](?<=[^{letters}]{mark}[ \n])" for mark in (",", r"\.")]
+        self.loose = [re.compile(x).search for x in (r"\n(?:\s|(?<=\s\n))", *marks)]
         self.near = re.compile(r"^\n|\n$|\s\n|\n\s")
         self.ends = frozenset(",.")
         self.letters = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
@@ -102,6 +104,14 @@ class Encoder:
             out.update(zip(rest, self._library([self._whole(u) for u in rest]), strict=True))
         return out
 
+    def _is_unsafe(self, text: str) -> bool:
+        """Whether a space follows white space."""
+        return "  " in text or "\n " in text or self.unsafe.search(text) is not None
+
+    def _is_loose(self, text: str) -> bool:
+        """Whether a comma, stop or line end may belong to a longer token."""
+        return text[:1] == "\n" or text[-1:] == "\n" or any(search(text) for search in self.loose)
+
     def _units(self, text: str) -> list[str]:
         """The first unit is marked if it has no space before it where others have one."""
         if not self.spaced:
@@ -110,10 +120,10 @@ class Encoder:
                 return text.replace("\n", " ").split(" ")
             # The tokenizer lower-cases; doing so for ASCII first makes more words alike.
             return text.encode("utf-8", "replace").lower().decode().replace("\n", " ").split(" ")
-        if self.unsafe.search(text):
+        if self._is_unsafe(text):
             first, *rest = self.cut.split(text)
             return [_FIRST + first, *[x[1:] for x in rest]]
-        if not self.loose.search(text):
+        if not self._is_loose(text):
             # Words are the same units with and without a comma, stop or line end behind them.
             text = text.replace("\n", f" {_FIRST}\n {_FIRST}")
             text = text.replace(", ", f" {_FIRST}, ").replace(". ", f" {_FIRST}. ")

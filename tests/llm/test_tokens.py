@@ -177,3 +177,19 @@ def test_latin_words_go_as_one_text():
     tool = Encoder(path, spaced=False, width=2)
     tool.tokenizer = Counted(tool.tokenizer)
     assert tool.encode(texts[:1]) == want[:1] and tool.tokenizer.texts == 1
+
+
+def test_tests_of_whole_texts():
+    """What the encoder looks for in every text, against plain patterns; a search skips to a rare character."""
+    import random
+    import re
+
+    tool = Encoder(public_tokenizers.path("byte_bpe_50k.json"), spaced=True)
+    unsafe = re.compile(r"\s ")
+    loose = re.compile(r"[^A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ][,.][ \n]|\n\s|\s\n|^\n|\n$")
+    chance = random.Random(3)
+    texts = ["".join(chance.choices("aZ1\n\n  ,.\t\x0b\r\x85\xa0 \xe9\xd7ɐ-<", k=k % 8)) for k in range(100_000)]
+    for text in [*texts, ",\n", ". a", "a.\n", "a\n"]:
+        assert tool._is_unsafe(text) == bool(unsafe.search(text)), text
+        assert tool._is_loose(text) == bool(loose.search(text)), text
+    assert all(search.__self__.pattern[:2] in (r"\n", r"\.") or search.__self__.pattern[0] == "," for search in tool.loose)
